@@ -1,8 +1 @@
 """Walking-reachability and data-pipeline analytics on Spark DataFrames."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions of this package travel to the executors by value, so workers need not have it installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
