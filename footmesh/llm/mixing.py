@@ -4,8 +4,12 @@ Every record of a source is wanted the same fractional number of times. Its whol
 fractional parts are rounded by pivotal dependent rounding: two records transfer mass between them,
 weighted by their tokens, in one of the two directions at random, until one is integral. So each
 record keeps its expected number of copies and the source its token mass, to within one record.
-Large records go first, so that what stays fractional at the end is small.
-Buckets of records are rounded in parallel; the at most one residual of each goes up a reduction tree.
+
+What stays fractional tends to be the largest record of a chain, so sizes are taken in turn: a source's
+large records (fewer than 1 / LARGE of them) are rounded first, by classes of size, the larger first, and
+what the rounding of a class's last record adds or takes is spread over all smaller records' fractions.
+That keeps every expectation and leaves an error of one small record. The small records, of any number,
+are rounded in parallel buckets, whose at most one residual each goes up a reduction tree.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKET = 20_000
 FAN_IN = 64
 EPS = 1e-9
+# A record with more than this share of its source's tokens is large.
+LARGE = 1e-4
 
 
 @lru_cache(maxsize=2)
@@ -81,6 +87,27 @@ def pivotal(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
     return p
 
 
+def cascade(w: np.ndarray, wanted: float, tokens: float, cap: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Copies of the large records of a source: classes of size by powers of two, the larger first.
+
+    ``wanted`` and ``tokens`` are those of the whole source, small records included; each class is rounded
+    at the fraction that all records left over then need.
+    """
+    copies = np.zeros(len(w))
+    kind = np.floor(np.log2(w)).astype(int)
+    for k in sorted(set(kind.tolist()), reverse=True):
+        at = np.flatnonzero(kind == k)
+        each = min(max(wanted / tokens, 0.0), cap) if tokens > 0 else 0.0
+        base = np.floor(each + EPS)
+        p = pivotal(np.full(len(at), max(0.0, each - base)), w[at], u[at])
+        loose = (p > 0) & (p < 1)
+        p[loose] = v[at][loose] < p[loose]
+        copies[at] = np.minimum(base + p, cap)
+        wanted -= float(copies[at] @ w[at])
+        tokens -= float(w[at].sum())
+    return copies
+
+
 def mix_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> pd.DataFrame:
     """A row a target: src, source, share, cap, n_docs, tokens, wanted (tokens), copies (a record's expected number).
 
@@ -114,46 +141,60 @@ def mix_sources(
     rows = docs.select(F.col(key).alias("doc_id"), source_key(F.col(source)).alias("src"), F.col(text).alias("text")).join(F.broadcast(t.select("src")), "src", "left_semi")
     sizes = cut(token_counts(rows, "text", tokenizer))
     plan = mix_plan(sizes, t, total_tokens)
-    schema = "src string, source string, copies double, n_buckets int"
-    known = spark.createDataFrame([(r.src, r.source, float(r.copies), int(-(-r.n_docs // BUCKET)) or 1) for r in plan.itertuples()], schema) if len(plan) else spark.createDataFrame([], schema)
-    state = sizes.join(F.broadcast(known), "src").withColumn("draw", F.xxhash64("doc_id", "n_tokens", F.lit(seed)))
-    state = state.select(
-        "doc_id", "src", "source", "n_tokens", (-F.col("n_tokens")).alias("weight"), F.floor(F.col("copies") + EPS).cast("int").alias("copies"),
-        F.greatest(F.lit(0.0), F.col("copies") - F.floor(F.col("copies") + EPS)).alias("p"), "draw", F.pmod("draw", F.col("n_buckets")).cast("int").alias("bucket"),
-    )
-    cols = state.columns
+    fields = "src string, source string, wanted double, cap int, large double, n_buckets int"
+    known = [(r.src, r.source, float(r.wanted), int(r.cap), LARGE * r.tokens, max(1, int(-(-r.n_docs // BUCKET)))) for r in plan.itertuples()]
+    state = sizes.join(F.broadcast(spark.createDataFrame(known, fields)), "src").withColumn("draw", F.xxhash64("doc_id", "n_tokens", F.lit(seed)))
+    kept = ["doc_id", "src", "source", "n_tokens", "copies"]
+    kinds = dict(sizes.dtypes) | {"source": "string", "copies": "int", "p": "double", "draw": "bigint", "bucket": "int"}
+    schema = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
     def draws(frame: pd.DataFrame, level: int) -> np.ndarray:
         mixed = frame["draw"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
         return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
 
+    def large(_: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        copies = cascade(frame["n_tokens"].to_numpy(float), float(frame["wanted"].iloc[0]), float(frame["all_tokens"].iloc[0]), int(frame["cap"].iloc[0]), draws(frame, 0), draws(frame, 1))
+        yield frame.assign(copies=copies.astype(np.int32))[kept]
+
+    totals = spark.createDataFrame([(r.src, float(r.tokens)) for r in plan.itertuples()], "src string, all_tokens double")
+    big = state.where("n_tokens > large").join(F.broadcast(totals), "src")
+    big = cut(map_groups(big.select("doc_id", "src", "source", "n_tokens", "wanted", "all_tokens", "cap", "draw"), ["src"], large, schema(kept), ["n_tokens", "draw", "doc_id"]))
+    given = {r.src: (r.given, r.held) for r in big.groupBy("src").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("given"), F.sum("n_tokens").alias("held")).collect()}
+    left = []
+    for r in plan.itertuples():
+        got, held = given.get(r.src, (0, 0))
+        left.append((r.src, float(min(max((r.wanted - got) / (r.tokens - held), 0.0), r.cap)) if r.tokens > held else 0.0))
+    small = state.where("n_tokens <= large").join(F.broadcast(spark.createDataFrame(left, "src string, each double")), "src")
+    base = F.floor(F.col("each") + EPS)
+    names = [*kept, "p", "draw", "bucket"]
+    small = small.withColumns({"copies": base.cast("int"), "p": F.greatest(F.lit(0.0), F.col("each") - base), "bucket": F.pmod("draw", F.col("n_buckets")).cast("int")}).select(*names)
+
     def rounder(level: int):
         def run(_: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             p, w, u = frame["p"].to_numpy(float).copy(), frame["n_tokens"].to_numpy(float), draws(frame, level)
             none = w <= 0
             p[none] = u[none] < p[none]
             p[~none] = pivotal(p[~none], w[~none], u[~none])
-            yield frame.assign(p=p)[cols]
+            yield frame.assign(p=p)[names]
 
         return run
 
-    types = ", ".join(f"`{c}` {k}" for c, k in state.dtypes)
-    done, level, most = [], 0, max([1, *(-(-plan["n_docs"] // BUCKET)).astype(int)]) if len(plan) else 1
+    done, level, most = [big], 2, max([1, *(k[-1] for k in known)])
     while True:
-        state = cut(map_groups(state, ["src", "bucket"], rounder(level), types, ["weight", "draw", "doc_id"]))
+        small = cut(map_groups(small, ["src", "bucket"], rounder(level), schema(names), ["draw", "doc_id"]))
         last = most <= 1
         # the one residual of a source is settled by its own draw
-        whole = state if last else state.where("p = 0 or p = 1")
+        whole = small if last else small.where("p = 0 or p = 1")
         chance = (F.pmod(F.xxhash64("draw", F.lit("last")), F.lit(1 << 30)) / (1 << 30)) < F.col("p")
-        done.append(whole.withColumn("copies", F.col("copies") + F.when(F.col("p").isin(0.0, 1.0), F.col("p").cast("int")).otherwise(chance.cast("int"))))
+        done.append(whole.withColumn("copies", F.col("copies") + F.when(F.col("p").isin(0.0, 1.0), F.col("p").cast("int")).otherwise(chance.cast("int"))).select(*kept))
         if last:
             break
-        state = state.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
+        small = small.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
         most, level = -(-most // FAN_IN), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "src", "source", "n_tokens", "copies"), plan
+    return out, plan
 
 
 def mix_shares(mixed: DataFrame, plan: pd.DataFrame) -> DataFrame:
