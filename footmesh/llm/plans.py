@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from footmesh.llm.leakage import leaks
+from footmesh.llm.linkage import match_sources
 from footmesh.llm.lookalike import lookalike_classes, lookalike_pairs
 from footmesh.llm.mixing import mix_shares, mix_sources
+from footmesh.llm.names import link_names, same_name_pairs
 from footmesh.runtime import table
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an entry: its place's key."""
+    return link_names(table(spark, sf_dir, "custom_stops"), "entry_id", "name", table(spark, sf_dir, "place_aliases"), table(spark, sf_dir, "stops").select("name"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_name_pairs(p3_links(spark, sf_dir))
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its confidence."""
+    left, right = table(spark, sf_dir, "stops"), table(spark, sf_dir, "operator_stops")
+    out = match_sources(left, right, ("id", "name", "lat", "lon", "type"), ("op_row", "label", "lat", "lon", "op_mode"), table(spark, sf_dir, "place_aliases"))
+    return out.withColumnsRenamed({"left_id": "stop_id", "right_id": "op_row"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likely matches, checked for the same place, direction and mode."""
+    return p4_matches(spark, sf_dir).where("confidence >= 0.5 and same").select("stop_id", "op_row")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -34,5 +57,5 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes}
 SQL: dict[str, str] = {}
