@@ -22,9 +22,11 @@ from footmesh.llm.lookalike import normal_texts
 
 RUN = 20
 K1, B = 1.2, 0.75
-BLOCK = 32
-# An index is built and sent for at most so many characters of items; more items are searched in several blocks.
-INDEX_CHARS = 8_000_000
+# Items of a block, whose bound is kept for every term; a block that is small is passed over more often.
+BLOCK = 4
+# An index is built of about so many characters of items at most. More items make more indexes, of which SENT go to the documents in one pass.
+INDEX_CHARS = 1_000_000
+SENT = 16
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -68,10 +70,9 @@ class ItemIndex:
         self.item, self.impact, term = item[order], impact[order], term[order]
         self.start = np.searchsorted(term, np.arange(size + 1))
         self.blocks = (n + BLOCK - 1) // BLOCK
-        pair, first = np.unique(term * max(1, self.blocks) + self.item // BLOCK, return_index=True)
-        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.block_of = pair % max(1, self.blocks)
-        self.block_start = np.searchsorted(pair // max(1, self.blocks), np.arange(size + 1))
+        # by term (the last row is for words that no item has) and block
+        self.block_max = np.zeros((size + 1, self.blocks), np.float32)
+        np.maximum.at(self.block_max, (term, self.item // BLOCK), self.impact.astype(np.float32))
         # the least threshold of each block and of all; a term's largest impact of all
         self.block_least = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
         self.least = self.threshold.min() if n else np.inf
@@ -79,49 +80,47 @@ class ItemIndex:
         if size:
             self.top[:size] = np.maximum.reduceat(self.impact, self.start[:-1])
 
-    def candidates(self, terms: np.ndarray) -> np.ndarray:
-        """Items whose score for the passage of these distinct terms reaches their threshold: whole blocks are skipped by their bounds."""
-        spans = [slice(self.block_start[t], self.block_start[t + 1]) for t in terms]
-        bound = np.bincount(np.concatenate([self.block_of[s] for s in spans]), np.concatenate([self.block_max[s] for s in spans]), self.blocks)
-        live = bound >= self.block_least - 1e-9
-        if not live.any():
-            return np.empty(0, int)
+    def candidates(self, terms: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Items of the live blocks whose score for the passage of these distinct terms reaches their threshold."""
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
         item, impact = np.concatenate([self.item[s] for s in spans]), np.concatenate([self.impact[s] for s in spans])
         kept = live[item // BLOCK]
         score = np.bincount(item[kept], impact[kept], len(self.ids))
-        return np.flatnonzero(score >= self.threshold - 1e-9)
+        return np.flatnonzero(score >= self.threshold - 1e-6)
 
-    def hits(self, text: str) -> set[int]:
-        """Items of which the text (in normal form) holds a run, by number."""
-        run = self.run
+    def hits(self, words: list[str]) -> set[int]:
+        """Items of which the words hold a run, by number."""
+        run, out = self.run, set()
+        if len(words) < run or not len(self.ids):
+            return out
         get, none = self.vocab.get, len(self.vocab)
-        codes = np.array([get(w, none) for w in words_of(text)], np.int32)
-        if len(codes) < run:
-            return set()
+        codes = np.array([get(w, none) for w in words], np.int32)
         total = np.r_[0.0, np.cumsum(self.top[codes])]
-        begin = np.arange(0, max(1, len(codes) - run + 1), run)
-        end = np.minimum(begin + 2 * run, len(codes))
-        out: set[int] = set()
-        # a passage whose terms could not reach any threshold is not searched
-        for b in np.flatnonzero(total[end] - total[begin] >= self.least - 1e-9):
-            piece = codes[begin[b] : end[b]]
-            terms = np.unique(piece)
-            terms = terms[terms < none]
-            found = self.candidates(terms)
-            if not len(found):
-                continue
-            wanted = set(found.tolist())
-            for s in range(len(piece) - run + 1):
-                out.update(k for k in self.runs.get(piece[s : s + run].tobytes(), ()) if k in wanted)
+        begin = np.arange(0, len(codes) - run + 1, run)
+        # a passage whose words could not reach any threshold is not searched
+        begin = begin[total[np.minimum(begin + 2 * run, len(codes))] - total[begin] >= self.least - 1e-6]
+        padded = np.r_[codes, np.full(2 * run, none, np.int32)]
+        for at in range(0, len(begin), 256):
+            start = begin[at : at + 256]
+            distinct = np.sort(padded[start[:, None] + np.arange(2 * run)], axis=1)
+            distinct[:, 1:][distinct[:, 1:] == distinct[:, :-1]] = none
+            # blocks whose bounds stay below all thresholds of their items are passed over
+            live = self.block_max[distinct].sum(1) >= self.block_least - 1e-3
+            for k in np.flatnonzero(live.any(1)):
+                terms = distinct[k][distinct[k] < none]
+                wanted = set(self.candidates(terms, live[k]).tolist())
+                if wanted:
+                    piece = codes[start[k] : start[k] + 2 * run]
+                    for s in range(len(piece) - run + 1):
+                        out.update(i for i in self.runs.get(piece[s : s + run].tobytes(), ()) if i in wanted)
         return out
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN) -> DataFrame:
     """doc_id, item_id: documents that hold at least ``run`` consecutive words of an item, each pair once.
 
-    Items shorter than that, null texts and null keys match nothing. Items are indexed in blocks of at
-    most INDEX_CHARS characters, whatever their number; each block is one pass over the documents.
+    Items shorter than that, null texts and null keys match nothing. Items are indexed by parts of about
+    INDEX_CHARS characters, whatever their number; every SENT indexes take one pass over the documents.
     """
     items = items.select(F.col(item_key).alias("id"), F.col(item_text).alias("t")).where("id is not null and t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -130,18 +129,23 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(items.dtypes)['id']}"
     spark = docs.sparkSession
     out = None
-    for part in range(parts):
-        block = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "t").toPandas()
-        shared = spark.sparkContext.broadcast(ItemIndex(block["id"].tolist(), block["t"].tolist(), run))
+    for first in range(0, parts, SENT):
+        indexes = []
+        for part in range(first, min(parts, first + SENT)):
+            block = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part).orderBy("id", "t").toPandas()
+            indexes.append(ItemIndex(block["id"].tolist(), block["t"].tolist(), run))
+        shared = spark.sparkContext.broadcast(indexes)
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            indexes = shared.value
             for frame in frames:
                 docs_out, items_out = [], []
                 for doc, text in zip(frame["doc_id"], normal_texts(frame["t"].tolist())):
-                    for k in index.hits(text):
-                        docs_out.append(doc)
-                        items_out.append(index.ids[k])
+                    words = words_of(text)
+                    for index in indexes:
+                        for k in index.hits(words):
+                            docs_out.append(doc)
+                            items_out.append(index.ids[k])
                 yield pd.DataFrame({"doc_id": docs_out, "item_id": items_out}, dtype=object if not docs_out else None)
 
         found = rows.mapInPandas(search, schema)
