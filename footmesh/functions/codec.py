@@ -14,11 +14,24 @@ def plain_number(c: Column) -> Column:
     return F.regexp_replace(text, r"\.$", "")
 
 
+def to_fixed(c: Column, digits: int) -> Column:
+    """A double with so many digits after the point, rounded by its exact binary value (halves away from zero), as in JSON-style number printing.
+
+    Formatters on the JVM round the shortest decimal text instead, which differs on what only looks like a tie.
+    """
+    size = F.abs(c)
+    whole = F.floor(size)
+    exact = ((size - whole) * F.lit(float(2**46))).cast("decimal(20,0)")
+    k = F.floor((exact * F.lit(10**digits).cast("decimal(10,0)") + F.lit(2**45).cast("decimal(20,0)")) / F.lit(2**46).cast("decimal(20,0)")).cast("bigint")
+    text = F.concat((whole + F.floor(k / 10**digits)).cast("bigint").cast("string"), F.lit("."), F.lpad((k % 10**digits).cast("string"), digits, "0"))
+    return F.concat(F.when(c < 0, "-").otherwise(""), text)
+
+
 def result_key(id_: Column, mode: Column | str, radius: Column, lat: Column | None = None, lon: Column | None = None) -> Column:
     """id:v2:mode:radius, with the position to six decimals where it is given."""
     parts = [id_, F.lit("v2"), F.lit(mode) if isinstance(mode, str) else mode, plain_number(radius)]
     if lat is not None and lon is not None:
-        parts += [F.format_string("%.6f", lat), F.format_string("%.6f", lon)]
+        parts += [to_fixed(lat, 6), to_fixed(lon, 6)]
     return F.concat_ws(":", *parts)
 
 

@@ -142,7 +142,7 @@ def walk_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary points of each request, counted before they are made distinct."""
-    return Walk(spark, sf_dir).boundary.groupBy("request_id").agg(F.count("*").alias("points"), F.count_if("is_cut").alias("cuts"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return Walk(spark, sf_dir).boundary.groupBy("request_id").agg(F.count("*").alias("points"), F.count_if("is_cut").alias("cuts"), F.round(F.max("lat"), 7).alias("lat"), F.round(F.max("lon"), 7).alias("lon"))
 
 
 def walk_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,5 +223,5 @@ select area_id, u, v, cell_y, unnest(range(x0, x1 + 1)) as cell_x from (select *
     "snap_edges": f"with {S.CROSS}{S.ORIGINS}, sn as ({S.snap_sql('og', 'ex', '250e0')}) select area_id, origin, round(snap_m, 6) as snap_m from sn",
     "snap_seeds": f"with recursive {S.CROSS}{S.ORIGINS}{S.SEEDS} select area_id, origin, id, round(d0, 6) as d0 from sd",
     "walk_distances": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS} select area_id, origin, id, round(d, 6) as d from sp",
-    "walk_boundary": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{_BOUNDARY} select request_id, count(*) as points, count(*) filter (is_cut) as cuts, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from bp group by 1",
+    "walk_boundary": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{_BOUNDARY} select request_id, count(*) as points, count(*) filter (is_cut) as cuts, round(max(lat), 7) as lat, round(max(lon), 7) as lon from bp group by 1",
 }
