@@ -21,8 +21,8 @@ def to_fixed(c: Column, digits: int) -> Column:
     """
     size = F.abs(c)
     whole = F.floor(size)
-    exact = ((size - whole) * F.lit(float(2**46))).cast("decimal(20,0)")
-    k = F.floor((exact * F.lit(10**digits).cast("decimal(10,0)") + F.lit(2**45).cast("decimal(20,0)")) / F.lit(2**46).cast("decimal(20,0)")).cast("bigint")
+    exact = ((size - whole) * F.lit(float(2**52))).cast("decimal(20,0)")
+    k = F.call_function("div", exact * F.lit(10**digits).cast("decimal(10,0)") + F.lit(2**51).cast("decimal(20,0)"), F.lit(2**52).cast("decimal(20,0)"))
     text = F.concat((whole + F.floor(k / 10**digits)).cast("bigint").cast("string"), F.lit("."), F.lpad((k % 10**digits).cast("string"), digits, "0"))
     return F.concat(F.when(c < 0, "-").otherwise(""), text)
 
