@@ -29,8 +29,8 @@ MODES = {
 VOTES = ("v_place", "v_text", "v_direction", "v_near", "v_kind")
 # Metres within which a position speaks for a match, from which it speaks against, and of a cell of the blocking by position.
 NEAR_M, FAR_M, CELL_DEG = 250.0, 1_500.0, 0.004
-# Functions whose votes depend on each other by more than this, given the class, are modelled together.
-DEPENDENCE = 0.1
+# Functions whose votes are correlated by more than this, given the class, are modelled together.
+DEPENDENCE = 0.7
 
 
 def mode_of(c: Column) -> Column:
@@ -59,17 +59,17 @@ def _texts_alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LabelModel:
-    """Two classes, votes -1, 0, 1; independent given the class but for groups of dependent functions."""
+    """Two classes, votes -1, 0, 1; independent given the class but for groups of dependent functions.
+
+    Two functions that err together would convince a model that takes them as independent of whatever
+    they say. So each pair is judged by the classes that all other functions suggest.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
-        self.groups = [[k] for k in range(patterns.shape[1])]
-        self.patterns, self.counts = patterns, counts.astype(float)
-        score = patterns.sum(1)
-        self.posterior = np.clip(0.5 + 0.45 * score / patterns.shape[1], 0.02, 0.98)
-        self._fit(rounds)
-        if joint := self._dependent():
-            self.groups = joint
-            self._fit(rounds)
+        self.patterns, self.counts, self.rounds = patterns, counts.astype(float), rounds
+        every = list(range(patterns.shape[1]))
+        self.groups = self._dependent(every)
+        self.posterior = self._fit(self.groups)
 
     def _codes(self, group: list[int]) -> np.ndarray:
         code = np.zeros(len(self.patterns), int)
@@ -77,38 +77,40 @@ class LabelModel:
             code = code * 3 + self.patterns[:, k] + 1
         return code
 
-    def _fit(self, rounds: int) -> None:
-        codes = [self._codes(g) for g in self.groups]
-        for _ in range(rounds):
-            p, before = self.posterior, self.posterior
-            prior = (self.counts @ p + 1) / (self.counts.sum() + 2)
-            odds = np.full(len(p), np.log(prior) - np.log1p(-prior))
-            for g, code in zip(self.groups, codes):
+    def _fit(self, groups: list[list[int]]) -> np.ndarray:
+        used = [k for g in groups for k in g]
+        post = np.clip(0.5 + 0.45 * self.patterns[:, used].mean(1), 0.02, 0.98)
+        codes = [self._codes(g) for g in groups]
+        for _ in range(self.rounds):
+            before = post
+            prior = (self.counts @ post + 1) / (self.counts.sum() + 2)
+            odds = np.full(len(post), np.log(prior) - np.log1p(-prior))
+            for g, code in zip(groups, codes):
                 size = 3 ** len(g)
-                yes = np.bincount(code, self.counts * p, size) + 0.1
-                no = np.bincount(code, self.counts * (1 - p), size) + 0.1
+                yes = np.bincount(code, self.counts * post, size) + 0.1
+                no = np.bincount(code, self.counts * (1 - post), size) + 0.1
                 odds += np.log(yes / yes.sum())[code] - np.log(no / no.sum())[code]
-            self.posterior = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-            if np.abs(self.posterior - before).max() < 1e-9:
+            post = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+            if np.abs(post - before).max() < 1e-9:
                 break
-
-    def _dependent(self) -> list[list[int]]:
-        """Groups of functions whose correlation within the classes is large; none if no pair has one."""
-        n = self.patterns.shape[1]
-        group = list(range(n))
-        for a in range(n):
-            for b in range(a + 1, n):
-                share = 0.0
-                for w in (self.counts * self.posterior, self.counts * (1 - self.posterior)):
-                    if w.sum() < 1:
-                        continue
-                    x, y = self.patterns[:, a], self.patterns[:, b]
-                    mx, my = np.average(x, weights=w), np.average(y, weights=w)
-                    share += abs(np.average((x - mx) * (y - my), weights=w)) * w.sum() / self.counts.sum()
-                if share > DEPENDENCE:
-                    group = [group[a] if g == group[b] else g for g in group]
-        out = [[k for k in range(n) if group[k] == g] for g in dict.fromkeys(group)]
-        return out if len(out) < n else []
+        return post
+
+    def _dependent(self, every: list[int]) -> list[list[int]]:
+        """Groups of functions whose votes are correlated within the classes of the others."""
+        group = {k: k for k in every}
+        for a in every:
+            for b in every[a + 1 :]:
+                rest = [[k] for k in every if k not in (a, b)]
+                if len(rest) < 2:
+                    continue
+                post, tied = self._fit(rest), 0.0
+                for w in (self.counts * post, self.counts * (1 - post)):
+                    x, y = self.patterns[:, a] - np.average(self.patterns[:, a], weights=w + 1e-12), self.patterns[:, b] - np.average(self.patterns[:, b], weights=w + 1e-12)
+                    size = np.sqrt((w @ (x * x)) * (w @ (y * y)))
+                    tied += abs(w @ (x * y)) / size * w.sum() / self.counts.sum() if size > 1e-9 else 0.0
+                if tied > DEPENDENCE:
+                    group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+        return [[k for k in every if group[k] == g] for g in dict.fromkeys(group.values())]
 
 
 def match_sources(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...], right_cols: tuple[str, ...], aliases: DataFrame) -> DataFrame:
