@@ -177,4 +177,4 @@ def lookalike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     a = rows.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
     b = rows.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
     out = pairs.join(a, ["form", "raw_a"]).join(b, ["form", "raw_b"]).where("x <> y")
-    return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from footmesh.llm.leakage import leaks
 from footmesh.llm.linkage import match_sources
-from footmesh.llm.lookalike import lookalike_classes, lookalike_pairs
+from footmesh.llm.lookalike import LOOKALIKES, lookalike_classes, lookalike_pairs
 from footmesh.llm.mixing import mix_shares, mix_sources
 from footmesh.llm.names import link_names, same_name_pairs
 from footmesh.runtime import table
@@ -58,4 +58,29 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes}
-SQL: dict[str, str] = {}
+
+def _form_sql(text: str) -> str:
+    """The normal form in SQL, for the kinds of characters that the tables hold; the operator covers more."""
+    wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
+    alike = [pair for xs, ys in LOOKALIKES for pair in zip(xs, ys)]
+    blanks = [(chr(c), " ") for c in (0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F, 0x3000)]
+    composed = [("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
+    a, b = ("".join(x).replace("'", "''") for x in zip(*wide, *alike, *blanks, *composed))
+    shown = f"regexp_replace({text}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
+    out = f"translate({shown}, '{a}', '{b}')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"nfc_normalize({out})"
+
+
+def _runs_sql(table_name: str, key: str) -> str:
+    words = f"regexp_extract_all(lower({_form_sql('text')}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""select {key}, array_to_string(w[i:i + 19], ' ') as run from (
+    select {key}, w, unnest(range(1, len(w) - 18)) as i from (select {key}, {words} as w from {table_name}))"""
+
+
+SQL = {
+    "p6_found": f"select distinct doc_id, item_id from ({_runs_sql('documents', 'doc_id')}) join ({_runs_sql('eval_items', 'item_id')}) using (run)",
+    "p8_found": f"""with f as materialized (select doc_id, text, md5({_form_sql('text')}) as form from documents where text is not null)
+select least(a.doc_id, b.doc_id) as doc_a, greatest(a.doc_id, b.doc_id) as doc_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
+}
