@@ -1,17 +1,23 @@
 """Walk graphs by area: edges, crossings, components, snapping, bounded shortest paths and boundaries.
 
-All search is by equi-joins on grid cells, and routing is a relaxation join repeated until nothing
-improves. Graphs are keyed by area and node id; where a rule depends on the order in which nodes first
+All search is by equi-joins on grid cells. Routing is a search of batches of nearby origins over the edges
+around them, or a relaxation join repeated until nothing improves. Graphs are keyed by area and node id; where a rule depends on the order in which nodes first
 appear in the ways, that order is carried as a struct instead of a running number.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footmesh.functions.geo import METERS_PER_DEGREE, haversine_m, lon_scale
+from footmesh.operators.stops import BATCH, CELL_LAT, CELL_LON, numbered
 from footmesh.runtime import cut
 from footmesh.sources.network import ORDER, ROADS
 
@@ -20,6 +26,8 @@ SNAP_M, BRIDGE_M = 250.0, 40.0
 CROSSING_MIN_M, CROSSING_MAX_M = 3.0, 30.0
 MIN_COMPONENT, COMPONENT_SHARE = 30, 0.1
 MIN_WALK_M = 1.0
+# Cells of a batch's width around the globe.
+AROUND = round(360 / CELL_LON)
 
 
 def way_refs(ways: DataFrame) -> DataFrame:
@@ -123,13 +131,36 @@ def with_crossings(graph: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.unionByName(extra.select(*edges.columns))
 
 
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replace the edges of each batch by a star around the smallest node of each of its components."""
+    for frame in frames:
+        up: dict = {}
+
+        def root(k, up=up):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for a, u, v in zip(frame["area_id"], frame["u"].tolist(), frame["v"].tolist()):
+            for k in ((a, u), (a, v)):
+                up.setdefault(k, k)
+            p, q = root((a, u)), root((a, v))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+        stars = [(k[0], root(k)[1], k[1]) for k in up if root(k) != k]
+        yield pd.DataFrame({"area_id": pd.Series([s[0] for s in stars], dtype=object), "u": np.array([s[1] for s in stars], np.int64), "v": np.array([s[2] for s in stars], np.int64)})
+
+
 def components(graph: DataFrame, edges: DataFrame) -> DataFrame:
     """area_id, id, component: connected components, each named by its smallest node id.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), which end after a number of
-    rounds that grows with the logarithm of the size, whatever the diameter.
+    rounds that grows with the logarithm of the size, whatever the diameter. Before that, neighbouring
+    edges are brought together and each batch of them is contracted, which settles most components.
     """
-    pairs = cut(edges.select("area_id", "u", "v").distinct())
+    near = edges.select("area_id", "u", "v", F.floor(F.col("u_lat") / 0.02).alias("y"), F.floor(F.col("u_lon") / 0.03).alias("x")).repartition("area_id", "y", "x")
+    pairs = cut(near.select("area_id", "u", "v").mapInPandas(_contract, "area_id string, u bigint, v bigint").distinct())
     # a set of pairs is told by its size and the sum of its rows' hashes, so a round is compared without a join
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("area_id", "u", "v").cast("decimal(38,0)"))).first()
     state = mark(pairs)
@@ -207,6 +238,59 @@ def shortest_paths(start: DataFrame, edges: DataFrame, budget: DataFrame) -> Dat
     return known.select("area_id", "origin", "id", "d")
 
 
+def _batch_search(key: tuple, seeds_in: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """Shortest paths of a batch's origins over the edges around them."""
+    out: dict[str, list] = {"area_id": [], "origin": [], "id": [], "d": []}
+    names = np.unique(np.concatenate([arcs["u"].to_numpy(np.int64), arcs["v"].to_numpy(np.int64), seeds_in["id"].to_numpy(np.int64)]))
+    u, v = np.searchsorted(names, arcs["u"].to_numpy(np.int64)), np.searchsorted(names, arcs["v"].to_numpy(np.int64))
+    tails, heads, w = np.r_[u, v], np.r_[v, u], np.tile(arcs["w"].to_numpy(float), 2)
+    order = np.argsort(tails, kind="stable")
+    begin = np.searchsorted(tails[order], np.arange(len(names) + 1)).tolist()
+    heads, w, labels = heads[order].tolist(), w[order].tolist(), names.tolist()
+    for origin, part in seeds_in.groupby("origin", sort=False):
+        most = float(part["max_m"].iloc[0])
+        best = {}
+        todo = [(float(d), int(k)) for d, k in zip(part["d0"], np.searchsorted(names, part["id"].to_numpy(np.int64)))]
+        heapq.heapify(todo)
+        while todo:
+            d, k = heapq.heappop(todo)
+            if k in best:
+                continue
+            best[k] = d
+            for e in range(begin[k], begin[k + 1]):
+                if heads[e] not in best and d + w[e] <= most:
+                    heapq.heappush(todo, (d + w[e], heads[e]))
+        out["area_id"] += [key[0]] * len(best)
+        out["origin"] += [origin] * len(best)
+        out["id"] += [labels[k] for k in best]
+        out["d"] += best.values()
+    return pd.DataFrame({c: pd.Series(x, dtype={"id": np.int64, "d": float}.get(c, object)) for c, x in out.items()})
+
+
+def batched_paths(start: DataFrame, edges: DataFrame, budget: DataFrame, origins: DataFrame) -> DataFrame:
+    """The same distances as ``shortest_paths`` without rounds: origins of a small cell are searched together.
+
+    ``origins``: area_id, origin, lat, lon. A batch holds at most 48 origins of a cell and the edges within
+    the largest budget of it, which geography bounds; an origin's paths cannot lead farther than its
+    budget. Cells are counted around the globe, so paths may pass the 180th meridian.
+    """
+    rows = origins.join(budget, ["area_id", "origin"]).withColumns({"cy": F.floor(F.col("lat") / CELL_LAT).cast("bigint"), "cx": F.pmod(F.floor(F.col("lon") / CELL_LON), F.lit(AROUND)).cast("bigint")})
+    rows = numbered(rows, ["area_id", "cy", "cx"], F.expr("right(origin, 2)"), ["origin"], "_no").withColumn("batch", F.floor(F.col("_no") / BATCH).cast("bigint"))
+    rows = cut(rows.select("area_id", "origin", "max_m", "cy", "cx", "batch"))
+    ok = start.join(rows, ["area_id", "origin"]).where("d0 >= 0 and d0 <= max_m and not isnan(d0)")
+    most = rows.agg(F.max("max_m")).first()[0] or 0.0
+    pad_lat = most / 110_000.0
+    pad_lon = F.least(F.lit(180.0), F.lit(pad_lat) / F.greatest(F.lit(1e-4), F.cos(F.radians(F.least(F.lit(89.99), F.abs("u_lat") + 2 * pad_lat + CELL_LAT)))))
+    at = lambda c, size: F.floor(c / size).cast("bigint")
+    near = edges.withColumn("cy", F.explode(F.sequence(at(F.col("u_lat") - pad_lat, CELL_LAT), at(F.col("u_lat") + pad_lat, CELL_LAT))))
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(at(F.col("u_lon") - pad_lon, CELL_LON), at(F.col("u_lon") + pad_lon, CELL_LON)), lambda x: F.pmod(x, F.lit(AROUND)).cast("bigint")))))
+    near = near.select("area_id", "cy", "cx", "u", "v", "w").join(rows.select("area_id", "cy", "cx", "batch").distinct(), ["area_id", "cy", "cx"])
+    keys = ["area_id", "cy", "cx", "batch"]
+    # the two sides share columns of the batches, so one side's are renamed
+    near = near.select(*(F.col(k).alias(f"n_{k}") for k in keys), "u", "v", "w")
+    return ok.select(*keys, "origin", "id", "d0", "max_m").groupBy(*keys).cogroup(near.groupBy(*(f"n_{k}" for k in keys))).applyInPandas(lambda k, a, b: _batch_search(k, a, b), "area_id string, origin string, id bigint, d double")
+
+
 def boundary_points(paths: DataFrame, graph: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked``: area_id, origin, request_id, radius_m. The reachable nodes, and the points on edges where the budget ends: request_id, lat, lon, is_cut."""
     reach = paths.join(asked, ["area_id", "origin"]).where("d <= radius_m")

@@ -72,7 +72,7 @@ class Walk:
 
     @property
     def paths(self) -> DataFrame:
-        return self._once("paths", lambda: G.shortest_paths(self.seeds, self.edges, self.origins.select("area_id", "origin", "max_m")))
+        return self._once("paths", lambda: cut(G.batched_paths(self.seeds, self.edges, self.origins.select("area_id", "origin", "max_m"), self.origins.drop("max_m"))))
 
     @property
     def boundary(self) -> DataFrame:
@@ -186,7 +186,7 @@ def walk_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Walk(spark, sf_dir)
     radii = [100.0, 200.0, 300.0]
     budget = w.origins.select("area_id", "origin", F.lit(max(radii)).alias("max_m"))
-    paths = G.shortest_paths(w.seeds, w.edges, budget)
+    paths = cut(G.batched_paths(w.seeds, w.edges, budget, w.origins.drop("max_m")))
     return reduce(DataFrame.unionByName, [paths.where(F.col("d") <= r).groupBy("area_id", "origin").agg(F.count("*").alias("nodes")).withColumn("radius_m", F.lit(r)) for r in radii])
 
 

@@ -103,6 +103,16 @@ def test_budget_is_inclusive_and_exact(spark):
     got = {(r.origin, r.id): r.d for r in G.shortest_paths(start, edges, budget).collect()}
     want = {("o", k): d for k, d in dijkstra(plain, {15: 0.0}, 300).items()} | {("p", k): d for k, d in dijkstra(plain, {1: 10.0, 36: 130.0}, 250).items()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    places = origins(spark, [("o", 49.002, 8.002), ("p", 49.0, 8.0), ("q", 49.0, 8.0)])
+    assert {(r.origin, r.id): r.d for r in G.batched_paths(start, edges, budget, places).collect()} == got
+
+
+def test_batches_pass_the_date_line(spark):
+    graph, edges = network(spark, [(1, -16.0, 179.9995), (2, -16.0, 180.0), (3, -16.0, -179.9995)], [(1, [1, 2], {"highway": "footway"}), (2, [2, 3], {"highway": "footway"})])
+    start = spark.createDataFrame([("a", "o", 1, 0.0)], "area_id string, origin string, id bigint, d0 double")
+    budget = spark.createDataFrame([("a", "o", 200.0)], "area_id string, origin string, max_m double")
+    rounds = {r.id: r.d for r in G.shortest_paths(start, edges, budget).collect()}
+    assert len(rounds) == 3 and {r.id: r.d for r in G.batched_paths(start, edges, budget, origins(spark, [("o", -16.0, 179.9995)])).collect()} == rounds
 
 
 def test_missing_nodes_break_ways(spark):
