@@ -113,9 +113,14 @@ def _keys(frames: Iterator[pd.DataFrame], least: int = 3) -> Iterator[pd.DataFra
         yield out.assign(k=[x for ks in keys for x in ks])
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Over as many partitions as the session shuffles to: what follows costs far more than its bytes tell, so few bytes must not end in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def keyed(forms: DataFrame) -> DataFrame:
     """``forms``: grp, text, n. A row a deletion key, hashed with the group."""
-    rows = forms.mapInPandas(_keys, "grp string, text string, n double, k string")
+    rows = spread(forms, "grp", "text").mapInPandas(_keys, "grp string, text string, n double, k string")
     return rows.select("grp", "text", "n", F.xxhash64("grp", "k").alias("k"))
 
 
@@ -130,7 +135,7 @@ def near_forms(variants: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pairs grp, text, n, canon, m, d of different spellings of a group within the edits their length allows."""
     v, c = keyed(variants), keyed(candidates).select("k", F.col("grp").alias("g"), F.col("text").alias("canon"), F.col("n").alias("m"))
     pairs = v.join(c, "k").where("grp = g and text <> canon").select("grp", "text", "n", "canon", "m").distinct()
-    return pairs.mapInPandas(_measure, "grp string, text string, n double, canon string, m double, d int")
+    return spread(pairs, "grp", "text").mapInPandas(_measure, "grp string, text string, n double, canon string, m double, d int")
 
 
 def attach(forms: DataFrame) -> DataFrame:
