@@ -26,6 +26,8 @@ SNAP_M, BRIDGE_M = 250.0, 40.0
 CROSSING_MIN_M, CROSSING_MAX_M = 3.0, 30.0
 MIN_COMPONENT, COMPONENT_SHARE = 30, 0.1
 MIN_WALK_M = 1.0
+# Degrees beside either end of an edge over the 180th meridian in which it is searched.
+WRAP_DEG = 0.1
 # Cells of a batch's width around the globe.
 AROUND = round(360 / CELL_LON)
 
@@ -76,12 +78,18 @@ def area_scale(graph: DataFrame) -> DataFrame:
 
 
 def cells(size_m: float, lat0: Column, lat1: Column, lon0: Column, lon1: Column, pad_m: float = 0.0) -> Column:
-    """Cells (y, x) of a grid that a box touches; the column ``scale`` narrows longitudes."""
+    """Cells (y, x) of a grid that a box touches; the column ``scale`` narrows longitudes.
+
+    A box that spans more than half the globe belongs to an edge over the 180th meridian: it touches the
+    cells within WRAP_DEG of its two ends, not the many around the globe between them.
+    """
     size, pad = size_m / METERS_PER_DEGREE, pad_m / METERS_PER_DEGREE
     at = lambda c: F.floor(c / size).cast("bigint")
     scale = F.col("scale")
     ys = F.sequence(at(F.least(lat0, lat1) - pad), at(F.greatest(lat0, lat1) + pad))
-    xs = F.sequence(at(F.least(lon0, lon1) * scale - pad), at(F.greatest(lon0, lon1) * scale + pad))
+    low, high = F.least(lon0, lon1) * scale, F.greatest(lon0, lon1) * scale
+    ends = F.concat(F.sequence(at(low - pad), at(low + WRAP_DEG)), F.sequence(at(high - WRAP_DEG), at(high + pad)))
+    xs = F.when(high - low > 180 * scale, ends).otherwise(F.sequence(at(low - pad), at(F.when(high - low > 180 * scale, low).otherwise(high) + pad)))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
 
