@@ -25,6 +25,9 @@ SAMPLE = 100_000
 LEAF = 4_000
 SAMPLE_PER_LEAF = 16
 BLOCK = 64
+# Edges of regions: cells an edge may touch along an axis before a grid four times as coarse is used, and the coarsest grid.
+SPREAD = 16
+COARSEST = 8
 
 
 def fit_splits(sample: np.ndarray, per_leaf: int) -> np.ndarray:
@@ -223,9 +226,11 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     """(id, region_id): the regions that contain each point; ``ring`` is array<struct<lat, lon>>, open or closed.
 
     Regions are cut by cell of a fixed grid: a cell holds the edges that cross its columns at or above
-    it, collected only for the regions whose box meets the cell. Points on a west or south border are
-    inside, on an east or north border outside. Null, NaN and zero coordinates and rings of fewer than
-    three points contain nothing. Rings don't cross the 180th meridian.
+    it, collected only for the regions whose box meets the cell. Only cells that hold points get edges,
+    so a region may be as large as the globe. Points on a west or south border are inside, on an east or
+    north border outside. Null, NaN and zero coordinates and rings of fewer than three points contain
+    nothing. A region may have several rings that don't overlap; one over the 180th meridian is given as
+    two, either of which may run on past the meridian.
     """
     la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     pts = points.where(F.col(key).isNotNull() & present(la, lo) & ~((la == 0) & (lo == 0))).select(F.col(key).alias("id"), la.alias("py"), lo.alias("px")).distinct()
@@ -236,9 +241,17 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     edges = rings.select("region_id", F.array_min(F.col("ring.lat")).alias("south"), F.explode(F.arrays_zip(F.col("ring").alias("a"), F.slice(closed, 2, F.size("ring")).alias("b"))).alias("e"))
     edges = edges.select("region_id", "south", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"), F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1")).where("x0 <> x1")
     # an edge decides for the points below it, down to the region's southern end
-    edges = edges.withColumn("cx", F.explode(F.sequence(cell(F.least("x0", "x1")), cell(F.greatest("x0", "x1")))))
-    edges = edges.withColumn("cy", F.explode(F.sequence(cell(F.col("south")), cell(F.greatest("y0", "y1"))))).drop("south")
-    edges = edges.join(pts.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    edges = edges.withColumns({"cx0": cell(F.least("x0", "x1")), "cx1": cell(F.greatest("x0", "x1")), "cy0": cell(F.col("south")), "cy1": cell(F.greatest("y0", "y1"))}).drop("south")
+    # long edges meet the cells that hold points by way of a coarser grid, in which an edge touches few cells
+    wide = F.greatest(F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")) + 1
+    edges = edges.withColumn("level", F.least(F.lit(COARSEST), F.greatest(F.lit(0), F.ceil(F.log2(wide / SPREAD) / 2))).cast("int"))
+    coarse = lambda c: F.expr(f"shiftright({c}, 2 * level)")
+    edges = edges.withColumn("kx", F.explode(F.sequence(coarse("cx0"), coarse("cx1"))))
+    edges = edges.withColumn("ky", F.explode(F.sequence(coarse("cy0"), coarse("cy1"))))
+    held = pts.select(F.col("cx").alias("hx"), F.col("cy").alias("hy")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(COARSEST))))
+    held = held.withColumns({"kx": coarse("hx"), "ky": coarse("hy")})
+    edges = edges.join(held, ["level", "kx", "ky"]).where("hx between cx0 and cx1 and hy between cy0 and cy1")
+    edges = edges.select("region_id", "x0", "y0", "x1", "y1", "hx", "hy")
 
     def sweep(_: tuple, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if p.empty or e.empty:
@@ -248,4 +261,4 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
         return pd.DataFrame({"id": p["id"].to_numpy(object)[i], "region_id": names[r]})
 
     schema = f"id {dict(pts.dtypes)['id']}, region_id {dict(rings.dtypes)['region_id']}"
-    return pts.groupBy("cx", "cy").cogroup(edges.groupBy("cx", "cy")).applyInPandas(lambda k, p, e: sweep(k, p, e), schema).distinct()
+    return pts.groupBy("cx", "cy").cogroup(edges.groupBy("hx", "hy")).applyInPandas(lambda k, p, e: sweep(k, p, e), schema).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footmesh.operators.nested import network_rows
@@ -25,9 +26,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops in the boxes that the requests of each area span."""
-    box = table(spark, sf_dir, "requests").where("lat is not null and not isnan(lat) and lon is not null and not isnan(lon)").groupBy("area_id")
-    box = box.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).where("s < n and w < e and e - w < 1 and n - s < 1")
+    """Stops in the boxes that the requests of each area span, whatever their size.
+
+    A box takes the shortest arc of longitudes that holds the area's requests, so it may lie over the
+    180th meridian. The SQL leaves out boxes of a degree or more.
+    """
+    asked = table(spark, sf_dir, "requests").where("lat is not null and not isnan(lat) and lon is not null and not isnan(lon)").select("area_id", "lat", "lon")
+    box = asked.groupBy("area_id").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).where("s < n and w < e")
+    # only where the longitudes span half the globe can the way over the meridian be shorter
+    lons = asked.join(box.where("e - w between 180 and 360"), "area_id").select("area_id", "lon", (360 - (F.col("e") - F.col("w"))).alias("outside")).distinct()
+    gaps = lons.withColumn("to", F.lead("lon").over(W.partitionBy("area_id").orderBy("lon"))).where("to - lon > outside")
+    over = gaps.groupBy("area_id").agg(F.max(F.struct((F.col("to") - F.col("lon")).alias("gap"), F.col("to").alias("w"), F.col("lon").alias("e"))).alias("m")).select("area_id", F.col("m.w").alias("ow"), F.col("m.e").alias("oe"))
+    side = lambda w, e: F.struct(w.alias("w"), e.alias("e"))
+    # a box over the meridian is given from either side, each time with its own end exact
+    sides = F.when(F.col("ow").isNull(), F.array(side(F.col("w"), F.col("e")))).otherwise(F.array(side(F.col("ow"), F.col("oe") + 360), side(F.col("ow") - 360, F.col("oe"))))
+    box = box.join(over, "area_id", "left").select("area_id", "s", "n", F.explode(sides).alias("x")).select("area_id", "s", "n", "x.w", "x.e")
     corner = lambda la, lo: F.struct(F.col(la).alias("lat"), F.col(lo).alias("lon"))
     rings = box.select("area_id", F.array(corner("s", "w"), corner("s", "e"), corner("n", "e"), corner("n", "w")).alias("ring"))
     return points_in_regions(table(spark, sf_dir, "stops"), "id", "lat", "lon", rings, "area_id", "ring")

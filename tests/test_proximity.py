@@ -5,6 +5,7 @@ import numpy as np
 
 from footmesh.operators import proximity as P
 from footmesh.operators.snapshots import haversine_np
+from footmesh.plans.general import p5_region
 
 
 def brute(points, radius):
@@ -58,3 +59,24 @@ def test_regions(spark):
     pts = spark.createDataFrame([("a", 0.5, 0.5), ("b", 0.9, 3.0), ("c", 0.1, 3.0), ("e", 5.0, 0.5), ("f", None, 0.5), (None, 0.5, 0.5)], "id string, lat double, lon double")
     got = {tuple(r) for r in P.points_in_regions(pts, "id", "lat", "lon", rings, "r", "ring").collect()}
     assert got == {("a", "s"), ("c", "d")}
+
+
+def test_large_regions(spark):
+    rng = random.Random(5)
+    boxes = [(f"b{k}", a, a + h, b, b + w) for k, (a, b, h, w) in enumerate((rng.uniform(-60, 20), rng.uniform(-170, 20), 10 ** rng.uniform(-2, 1.7), 10 ** rng.uniform(-2, 2.1)) for _ in range(30))]
+    boxes += [("east", -16.1, -15.9, 179.9, 180.2), ("east", -16.1, -15.9, -180.1, -179.8), ("globe", -80.0, 80.0, -180.0, 180.0)]
+    rings = spark.createDataFrame([(k, [{"lat": a, "lon": b} for a, b in ((s, w), (s, e), (n, e), (n, w))]) for k, s, n, w, e in boxes], "r string, ring array<struct<lat: double, lon: double>>")
+    pts = [(f"p{k}", rng.uniform(-70, 70), rng.uniform(-180, 180)) for k in range(400)] + [("m", -16.0, 180.0), ("n", -16.0, -180.0), ("o", -16.0, -179.8), ("q", -16.0, 179.9)]
+    got = [tuple(r) for r in P.points_in_regions(spark.createDataFrame(pts, "id string, lat double, lon double"), "id", "lat", "lon", rings, "r", "ring").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, k) for i, a, b in pts for k, s, n, w, e in boxes if s <= a < n and w <= b < e}
+
+
+def test_regions_of_wide_areas(spark, tmp_path):
+    asked = [("wide", -16.0, 6.0), ("wide", 46.0, 179.0), ("line", -16.0, 179.9), ("line", -16.2, -179.9), ("three", -17.0, -179.5), ("three", 46.0, 6.0), ("three", 45.0, 179.5), ("small", 46.0, 6.0), ("small", 46.5, 6.5)]
+    spark.createDataFrame(asked, "area_id string, lat double, lon double").write.parquet(f"{tmp_path}/requests.parquet")
+    stops = [("a", 46.2, 6.2), ("b", 0.0, 90.0), ("c", -16.1, 179.95), ("d", -16.1, -179.95), ("e", -16.1, 180.0), ("f", -16.1, 0.0), ("g", -16.1, -179.9), ("h", -16.1, 179.9), ("i", 0.0, -100.0)]
+    spark.createDataFrame(stops, "id string, lat double, lon double").write.parquet(f"{tmp_path}/stops.parquet")
+    got = {tuple(r) for r in p5_region(spark, str(tmp_path)).collect()}
+    line, three = {(k, "line") for k in "cdeh"}, {(k, "three") for k in "bcdegh"}
+    assert got == {("a", "small"), ("b", "wide")} | line | three
