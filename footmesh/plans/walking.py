@@ -50,15 +50,23 @@ class Walk:
         return self._once("components", lambda: cut(G.components(self.graph, self.edges)))
 
     @property
-    def requests(self) -> DataFrame:
-        """request_id, area_id, origin, lat, lon, radius_m of the requests in areas that have a network, repeats once."""
+    def asked(self) -> DataFrame:
+        """request_id, area_id, origin, lat, lon, radius_m of every request, repeats once."""
 
         def make() -> DataFrame:
-            rows = table(self.spark, self.dir, "requests").where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
-            rows = rows.select("request_id", "area_id", "lat", "lon", clamp_radius(F.col("radius_m"), F.lit(300.0)).alias("radius_m")).distinct()
-            rows = rows.join(self.graph.select("area_id").distinct(), "area_id", "left_semi")
+            rows = table(self.spark, self.dir, "requests").select("request_id", "area_id", "lat", "lon", clamp_radius(F.col("radius_m"), F.lit(300.0)).alias("radius_m")).distinct()
             return cut(rows.withColumn("origin", F.concat_ws("|", F.col("lat").cast("string"), F.col("lon").cast("string"))))
 
+        return self._once("asked", make)
+
+    @property
+    def requests(self) -> DataFrame:
+        """Those of ``asked`` that a search can serve: with a position, in areas that have a network."""
+
+        def make() -> DataFrame:
+            rows = self.asked.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+            return cut(rows.join(self.graph.select("area_id").distinct(), "area_id", "left_semi"))
+
         return self._once("requests", make)
 
     @property
@@ -146,12 +154,15 @@ def walk_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: each request's polygon as ring points, or the reason why it has none."""
+    """The flagship: each request's polygon as ring points, or the reason why it has none.
+
+    A request without a position or in an area without a network has no edge nearby.
+    """
     w = Walk(spark, sf_dir)
     rings = cut(hulls(w.local))
     snapped = w.seeds.select("area_id", "origin").distinct().withColumn("near", F.lit(True))
     have = rings.select("request_id").distinct().withColumn("ring", F.lit(True))
-    state = w.requests.join(snapped, ["area_id", "origin"], "left").join(have, "request_id", "left")
+    state = w.asked.join(snapped, ["area_id", "origin"], "left").join(have, "request_id", "left")
     reason = F.when(F.col("ring"), None).when(F.col("near"), "invalid-polygon").otherwise("no-nearby-edge")
     none = state.where("ring is null").select("request_id", reason.alias("reason"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
     return none.unionByName(rings.withColumn("reason", F.lit(None).cast("string")))

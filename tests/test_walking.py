@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from footmesh.functions import codec, scalars
 from footmesh.operators import graph as G
 from footmesh.operators import hull as H
+from footmesh.plans import walking
 from footmesh.sources import network as N
 
 
@@ -180,3 +181,15 @@ def test_scalars(spark):
 def test_padding_by_bucket(spark):
     df = spark.createDataFrame([(250.0,), (300.0,), (301.0,), (6000.0,), (None,)], "r double")
     assert [r[0] for r in df.select(scalars.radius_bucket(F.col("r"))).collect()] == [300.0, 300.0, 600.0, 6000.0, None]
+
+
+def test_every_request_has_a_result(spark, tmp_path):
+    nodes, ways = lattice(6)
+    elements = [{"type": "node", "id": i, "lat": la, "lon": lo} for i, la, lo in nodes] + [{"type": "way", "id": i, "nodes": ns, "tags": t} for i, ns, t in ways]
+    body = json.dumps({"batch": {"area_id": "a"}, "attempts": [{"response": {"elements": elements}}]})
+    spark.createDataFrame([(1, "2025", body)], "record_id bigint, received_at string, body string").write.parquet(f"{tmp_path}/network_responses.parquet")
+    asked = [("ring", "a", 49.0021, 8.0021), ("ring", "a", 49.0021, 8.0021), ("far", "a", 50.0, 8.0), ("no net", "b", 49.0021, 8.0021), ("no area", None, 49.0021, 8.0021), ("no place", "a", None, 8.0021), ("no number", "a", 49.0021, float("nan"))]
+    spark.createDataFrame([(*r, 300.0) for r in asked], "request_id string, area_id string, lat double, lon double, radius_m double").write.parquet(f"{tmp_path}/requests.parquet")
+    got = walking.walk_polygons(spark, str(tmp_path)).collect()
+    assert {r.request_id for r in got if r.reason is None} == {"ring"}
+    assert sorted((r.request_id, r.reason) for r in got if r.reason) == [(k, "no-nearby-edge") for k in ("far", "no area", "no net", "no number", "no place")]
