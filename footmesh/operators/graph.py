@@ -94,10 +94,19 @@ def cells(size_m: float, lat0: Column, lat1: Column, lon0: Column, lon1: Column,
 
 
 def segment_cells(edges: DataFrame, scale: DataFrame, size_m: float = SNAP_M) -> DataFrame:
+    """The edges by cell in which they are searched; those over the 180th meridian have only the cells near their ends."""
     c = cells(size_m, F.col("u_lat"), F.col("v_lat"), F.col("u_lon"), F.col("v_lon"))
     return edges.join(scale, "area_id").withColumn("cell", F.explode(c))
 
 
+def whole_segment_cells(edges: DataFrame, scale: DataFrame, size_m: float = SNAP_M) -> DataFrame:
+    """area_id, u, v, cell_y, cell_x: every cell of an edge's box in raw degrees, around the globe for one over the 180th meridian."""
+    at = lambda c: F.floor(c / (size_m / METERS_PER_DEGREE)).cast("bigint")
+    low, high = F.least("u_lon", "v_lon") * F.col("scale"), F.greatest("u_lon", "v_lon") * F.col("scale")
+    rows = edges.join(scale, "area_id").withColumn("cell_y", F.explode(F.sequence(at(F.least("u_lat", "v_lat")), at(F.greatest("u_lat", "v_lat")))))
+    return rows.withColumn("cell_x", F.explode(F.sequence(at(low), at(high)))).select("area_id", "u", "v", "cell_y", "cell_x")
+
+
 def crossings(graph: DataFrame, edges: DataFrame) -> DataFrame:
     """area_id, u, v, w: each node's best street crossing.
 

@@ -122,7 +122,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_segment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Walk(spark, sf_dir)
-    return G.segment_cells(w.way_edges, G.area_scale(w.graph)).select("area_id", "u", "v", F.col("cell.y").alias("cell_y"), F.col("cell.x").alias("cell_x"))
+    return G.whole_segment_cells(w.way_edges, G.area_scale(w.graph))
 
 
 def graph_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,14 @@ def test_every_request_has_a_result(spark, tmp_path):
     got = walking.walk_polygons(spark, str(tmp_path)).collect()
     assert {r.request_id for r in got if r.reason is None} == {"ring"}
     assert sorted((r.request_id, r.reason) for r in got if r.reason) == [(k, "no-nearby-edge") for k in ("far", "no area", "no net", "no number", "no place")]
+
+
+def test_segment_cells_around_the_globe(spark, tmp_path):
+    elements = [{"type": "node", "id": i, "lat": la, "lon": lo} for i, la, lo in [(1, -16.0, 179.999), (2, -16.001, -179.999), (3, -16.0, 179.99)]] + [{"type": "way", "id": 9, "nodes": [3, 1, 2], "tags": {"highway": "footway"}}]
+    body = json.dumps({"batch": {"area_id": "a"}, "attempts": [{"response": {"elements": elements}}]})
+    spark.createDataFrame([(1, "2025", body)], "record_id bigint, received_at string, body string").write.parquet(f"{tmp_path}/network_responses.parquet")
+    size, scale = 250 / 111320, math.cos(math.radians(-16.0))
+    at = lambda x: math.floor(x / size)
+    want = {(1, 2, y, x) for y in range(at(-16.001), at(-16.0) + 1) for x in range(at(-179.999 * scale), at(179.999 * scale) + 1)} | {(1, 3, at(-16.0), x) for x in range(at(179.99 * scale), at(179.999 * scale) + 1)}
+    got = walking.graph_segment_cells(spark, str(tmp_path)).select("u", "v", "cell_y", "cell_x").toPandas()
+    assert len(got) == len(want) > 150_000 and set(got.itertuples(index=False, name=None)) == want
