@@ -9,6 +9,7 @@ infers the schema, and repairs the few texts that VARIANT refuses (repeated keys
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+from footmesh.runtime import cut
 
 # An object path with more distinct keys than this is an open map, not a record.
 MAP_KEYS = 256
+# The lists that network records have by definition, also where each of them was delivered as a lone value.
+ELEMENTS = "$.attempts[].response.elements"
+NETWORK_LISTS = ("$.attempts", ELEMENTS, f"{ELEMENTS}[].nodes", f"{ELEMENTS}[].geometry")
 
 
 @dataclass(frozen=True)
@@ -106,23 +110,29 @@ def merged_schema(df: DataFrame, text: str, maps: tuple[str, ...] = ()) -> DataF
     return df.select(text).mapInPandas(infer, "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
-def levels_of(schema: DataFrame, maps: tuple[str, ...] = ()) -> list[Level]:
+def levels_of(schema: DataFrame, maps: tuple[str, ...] = (), known: tuple[str, ...] = ()) -> list[Level]:
     """The levels of a merged schema, parents first. Objects of more than MAP_KEYS keys are maps too.
 
+    Paths in ``known`` are lists even if the records never have more than a lone value there, and are
+    spelled as given even if a value above them, or the whole record, is a list elsewhere.
+
     Only list and map paths come to the driver: their number is that of the schema's levels.
     """
     parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
     wide = {r.parent for r in schema.where("path like '%.%'").groupBy(parent.alias("parent")).agg(F.count_distinct("path").alias("keys")).where(F.col("keys") > MAP_KEYS).select("parent").collect()}
     named = F.regexp_extract("path", r"([^.\[\]]*)(\[\])*$", 1)
-    lists = {r.path for r in schema.where("kind = 'array'").select("path").collect()}
+    lists = {r.path for r in schema.where("kind = 'array'").select("path").collect()} | set(known)
     mapped = {r.path.rstrip("[]") for r in schema.where(named.isin(*maps) if maps else F.lit(False)).where("kind in ('object', 'array')").select("path").collect()} | {w.removesuffix("[]") for w in wide}
+    bare = lambda p: p.replace("[]", "") + "."
+    mapped = {m for m in mapped if not any(bare(k).startswith(bare(m)) for k in known)}
+    listed = {p for p in lists if p in known or not any(bare(k).startswith(bare(p)) for k in known)}
     out = []
     for path in sorted(lists | mapped, key=lambda p: (p.count("[]"), p)):
         if any(path != m and path.startswith((m + ".", m + "[")) for m in mapped):
             continue
         # a list that is one object elsewhere has its fields under both spellings of the path; the list's spelling is kept
         whole = path
-        for at in sorted(lists - {path}, key=len):
+        for at in sorted(listed - {path}, key=len):
             if whole.startswith(at + "."):
                 whole = at + "[]" + whole[len(at) :]
         head, _, _ = whole.rpartition("[]")
@@ -130,7 +140,7 @@ def levels_of(schema: DataFrame, maps: tuple[str, ...] = ()) -> list[Level]:
         level = Level(whole + ("{}" if path in mapped else "[]"), head + "[]" if head else "$", field, "map" if path in mapped else "list")
         if level not in out:
             out.append(level)
-    return out
+    return sorted(out, key=lambda lv: (lv.parent.count("[]"), lv.path))
 
 
 def as_list(v: Column) -> Column:
@@ -159,29 +169,33 @@ def number_text(v: Column) -> Column:
 
 def child_level(df: DataFrame, level: Level, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Explode one level of ``df``: its key columns ``keep``, the ordinal ``ord``, and ``value`` (maps also ``key``)."""
-    v = F.try_variant_get(F.col(value), "$." + level.field, "variant") if level.field else F.col(value)
+    v = F.col(value)
+    for name in level.field.split(".") if level.field else ():
+        v = F.try_variant_get(v, "$." + name, "variant") if re.fullmatch(r"\w+", name) else F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
     if level.kind == "map":
         return df.select(*keep, F.posexplode(as_map(v)).alias("ord", "_e")).select(*keep, "ord", "_e.key", "_e.value")
     return df.select(*keep, F.posexplode(as_list(v)).alias("ord", "value"))
 
 
-def flatten(df: DataFrame, key: str, text: str, maps: tuple[str, ...] = (), order: str | None = None) -> dict[str, DataFrame]:
+def flatten(df: DataFrame, key: str, text: str, maps: tuple[str, ...] = (), order: str | None = None, known: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Tables by level path: "$" with (key, value), children with (parent_key, ord, row_key, value).
 
     ``row_key`` is ``parent_key/ordinal`` from the record's key down, so any child row leads to its
     element, attempt and record. A record delivered repeatedly counts once (the earliest by ``order``
     whose text is complete). Incomplete or missing texts and null keys give no rows. Ordinals start at
-    0 and count null entries, which give no row. An empty table has only "$".
+    0 and count null entries, which give no row. An empty table has only "$" and the ``known`` lists.
+    A table with several children is made once.
     """
-    records = one_each(df, key, text, order)
-    tables = {"$": records}
-    for level in levels_of(merged_schema(df, text, maps), maps):
+    levels = levels_of(cut(merged_schema(df, text, maps)), maps, known)
+    kept = lambda path, rows: cut(rows) if sum(lv.parent == path for lv in levels) > 1 else rows
+    tables = {"$": kept("$", one_each(df, key, text, order))}
+    for level in levels:
         parent = tables.get(level.parent)
         if parent is None:
             continue
         rows = child_level(parent.select(F.col("row_key").alias("parent_key"), "value"), level, keep=("parent_key",))
         rows = rows.where(F.col("value").isNotNull() & ~F.is_variant_null("value"))
-        tables[level.path] = rows.withColumn("row_key", F.concat_ws("/", "parent_key", F.col("ord").cast("string")))
+        tables[level.path] = kept(level.path, rows.withColumn("row_key", F.concat_ws("/", "parent_key", F.col("ord").cast("string"))))
     return tables
 
 
@@ -194,37 +208,20 @@ def one_each(df: DataFrame, key: str, text: str, order: str | None = None) -> Da
     return last.select(F.col("_k").cast("string").alias("row_key"), "value")
 
 
-def network_elements(responses: DataFrame) -> tuple[DataFrame, dict[str, Level]]:
-    """Elements of all attempts: record_id, attempt_no, elem_ord, value; and the levels under an element, by field."""
-    levels = levels_of(merged_schema(responses, "body", ("tags",)), ("tags",))
-    by_field = {lv.field.rpartition(".")[2]: lv for lv in levels}
-    rows = one_each(responses, "record_id", "body", "received_at").select(F.col("row_key").cast("bigint").alias("record_id"), "value")
-    if "attempts" not in by_field or "elements" not in by_field:
-        empty = rows.select("record_id", F.lit(0).alias("attempt_no"), F.lit(0).alias("elem_ord"), "value").limit(0)
-        return empty, {}
-    rows = child_level(rows, by_field["attempts"], keep=("record_id",)).withColumnRenamed("ord", "attempt_no")
-    rows = child_level(rows, by_field["elements"], keep=("record_id", "attempt_no")).withColumnRenamed("ord", "elem_ord")
-    return rows, by_field
-
-
 def network_rows(responses: DataFrame) -> DataFrame:
-    """All flat rows of nodes, ways, references, tags and geometry in one pass over the elements."""
-    rows, levels = network_elements(responses)
+    """The rows of nodes, ways, references, tags and geometry, from the flat tables of their levels."""
+    tables = flatten(responses, "record_id", "body", ("tags",), "received_at", NETWORK_LISTS)
     kind = F.try_variant_get("value", "$.type", "string")
-    elem = rows.select("record_id", "attempt_no", "elem_ord", "value", kind.alias("kind"), number_text(F.try_variant_get("value", "$.id", "variant")).alias("elem_id"))
-    elem = elem.where(F.col("kind").isin("node", "way") & F.col("elem_id").isNotNull())
-
-    def entries(field: str, name: str, make) -> Column:
-        pairs = F.transform(as_list(F.try_variant_get("value", f"$.{field}", "variant")), lambda x, i: F.struct(F.lit(name).alias("kind"), F.when(x.isNotNull() & ~F.is_variant_null(x), make(x, i)).alias("key")))
-        return F.filter(F.coalesce(pairs, F.array().cast("array<struct<kind:string,key:string>>")), lambda e: e["key"].isNotNull())
-
-    parts = [F.array(F.struct("kind", F.col("elem_id").alias("key")))]
-    if "nodes" in levels:
-        parts.append(entries("nodes", "ref", lambda x, i: F.concat(i.cast("string"), F.lit(":"), number_text(x))))
-    if "geometry" in levels:
-        parts.append(entries("geometry", "geom", lambda x, i: i.cast("string")))
-    if "tags" in levels:
-        keys = F.transform(as_map(F.try_variant_get("value", "$.tags", "variant")), lambda e: e["key"])
-        parts.append(F.transform(F.coalesce(F.array_distinct(keys), F.array().cast("array<string>")), lambda k: F.struct(F.lit("tag").alias("kind"), k.alias("key"))))
-    flat = elem.select("record_id", "attempt_no", "elem_ord", F.explode(F.concat(*parts)).alias("c"))
-    return flat.select("record_id", "attempt_no", "elem_ord", F.col("c.kind").alias("child_kind"), F.col("c.key").alias("child_key"))
+    elem = tables[f"{ELEMENTS}[]"].select("row_key", kind.alias("child_kind"), number_text(F.try_variant_get("value", "$.id", "variant")).alias("child_key"))
+    elem = elem.where(F.col("child_kind").isin("node", "way") & F.col("child_key").isNotNull())
+
+    def children(path: str, name: str, key: Column) -> DataFrame:
+        return tables[path].select(F.col("parent_key").alias("row_key"), F.lit(name).alias("child_kind"), key.alias("child_key")).where("child_key is not null")
+
+    rows = children(f"{ELEMENTS}[].nodes[]", "ref", F.concat(F.col("ord").cast("string"), F.lit(":"), number_text(F.col("value"))))
+    rows = rows.unionByName(children(f"{ELEMENTS}[].geometry[]", "geom", F.col("ord").cast("string")))
+    if f"{ELEMENTS}[].tags{{}}" in tables:
+        rows = rows.unionByName(children(f"{ELEMENTS}[].tags{{}}", "tag", F.col("key")).distinct())
+    rows = elem.unionByName(rows.join(elem.select("row_key").hint("merge"), "row_key", "left_semi"))
+    at = F.split("row_key", "/")
+    return rows.select(at[0].cast("bigint").alias("record_id"), at[1].cast("int").alias("attempt_no"), at[2].cast("int").alias("elem_ord"), "child_kind", "child_key")

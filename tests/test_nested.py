@@ -69,3 +69,16 @@ def test_merged_schema(spark):
     df = spark.createDataFrame([(json.dumps({"a": [1, "x"]}),), (json.dumps({"a": None}),), ("broken",)], "t string")
     got = {(r.path, r.kind): r.n for r in N.merged_schema(df, "t").collect()}
     assert got == {("$", "object"): 2, ("$.a", "array"): 1, ("$.a", "null"): 1, ("$.a[]", "number"): 1, ("$.a[]", "string"): 1}
+
+
+def test_lone_values_need_no_list_elsewhere(spark):
+    way = {"type": "way", "id": 6, "nodes": 7, "geometry": {"lat": 1, "lon": 2}, "tags": {"a": 1}}
+    lone = json.dumps({"attempts": {"response": {"elements": way}}})
+    want = [(1, 0, 0, "geom", "0"), (1, 0, 0, "ref", "0:7"), (1, 0, 0, "tag", "a"), (1, 0, 0, "way", "6")]
+    assert rows(spark, [(1, lone)]) == want
+    # lists of the same names at other paths don't stand for these
+    other = json.dumps({"attempts": {"response": {"elements": {**way, "x": {"elements": [{"nodes": [1]}], "attempts": [1]}}}}, "z": {"elements": [1], "a b": {"c[": [1]}}})
+    assert rows(spark, [(1, other)]) == want
+    assert rows(spark, [(1, lone), (2, json.dumps({"attempts": [{"response": {"elements": [way]}}], **{f"k{k}": 1 for k in range(300)}}))]) == want + [(2, *w[1:]) for w in want]
+    above = [(2, json.dumps([{"attempts": [1]}])), (3, json.dumps({"attempts": [{"response": [{"elements": [way]}]}, [way]]}))]
+    assert rows(spark, [(1, lone), *above]) == want
