@@ -44,25 +44,39 @@ def type_of_key(key: Column) -> Column:
     return F.try_element_at(F.split(key, ":"), F.lit(-3))
 
 
+def once(value: Column, use) -> Column:
+    """Bind a costly expression to a lambda variable, so that it is computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def encode(polygon: Column, precision: int = PRECISION) -> Column:
     """array<struct<lat, lon>> -> differences of the rounded coordinates, latitude and longitude in turn. Halves round up."""
     q = lambda c: F.floor(c * precision + 0.5).cast("bigint")
     flat = F.flatten(F.transform(polygon, lambda p: F.array(q(p["lat"]), q(p["lon"]))))
-    return F.transform(flat, lambda v, i: F.when(i < 2, v).otherwise(v - F.get(flat, i - 2)))
+    return once(flat, lambda f: F.transform(f, lambda v, i: F.when(i < 2, v).otherwise(v - F.get(f, i - 2))))
 
 
-def decode(encoded: Column, precision: int = PRECISION) -> Column:
-    """The polygon of an encoded array; a number without a partner is left out."""
-    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(encoded) / 2).cast("int") - 1), lambda i: F.struct(F.get(encoded, i * 2).alias("a"), F.get(encoded, i * 2 + 1).alias("b")))
-    start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.array().cast("array<struct<lat: double, lon: double>>").alias("ps"))
+def sums(encoded: Column) -> Column:
+    """Running positions of an encoded array as (a, b) pairs of whole numbers; a number without a partner is left out.
+
+    The pairs are summed by doubling strides, so the work grows with n log n and no array is grown entry by entry.
+    """
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(encoded) / 2).cast("int") - 1), lambda i: F.struct(F.get(encoded, i * 2).alias("a"), F.get(encoded, i * 2 + 1).alias("b")))
+    zero = F.lit(0).cast("bigint")
+
+    def stride(xs: Column, s: Column) -> Column:
+        return F.transform(xs, lambda p, i: F.struct((p["a"] + F.coalesce(F.get(xs, i - s)["a"], zero)).alias("a"), (p["b"] + F.coalesce(F.get(xs, i - s)["b"], zero)).alias("b")))
 
-    def add(acc: Column, s: Column) -> Column:
-        a, b = acc["a"] + s["a"], acc["b"] + s["b"]
-        return F.struct(a.alias("a"), b.alias("b"), F.concat(acc["ps"], F.array(F.struct((a / precision).alias("lat"), (b / precision).alias("lon")))).alias("ps"))
+    # strides 1, 2, 4, ... below the number of pairs
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.size(encoded)))).cast("int"))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.when(F.size(encoded) >= 2, F.aggregate(steps, pairs, stride)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
 
-    return F.when(F.size(encoded) >= 2, F.aggregate(steps, start, add)["ps"]).otherwise(F.array().cast("array<struct<lat: double, lon: double>>"))
+
+def decode(encoded: Column, precision: int | Column = PRECISION) -> Column:
+    """The polygon of an encoded array; a number without a partner is left out."""
+    return F.transform(sums(encoded), lambda p: F.struct((p["a"] / precision).alias("lat"), (p["b"] / precision).alias("lon")))
 
 
-def valid_encoding(encoded: Column, precision: int = PRECISION) -> Column:
+def valid_encoding(encoded: Column, precision: int | Column = PRECISION) -> Column:
     """At least three points, an even count, and every position on the globe."""
     return (F.size(encoded) >= 6) & (F.size(encoded) % 2 == 0) & F.forall(decode(encoded, precision), lambda p: (F.abs(p["lat"]) <= 90) & (F.abs(p["lon"]) <= 180))

@@ -44,6 +44,14 @@ def present(*cols: Column) -> Column:
     return out
 
 
+def finite(*cols: Column) -> Column:
+    """All given numbers are there and finite."""
+    out = present(*cols)
+    for c in cols:
+        out = out & (F.abs(c) != float("inf"))
+    return out
+
+
 def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     phi, lam = F.radians(lat), F.radians(lon)
     return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)

@@ -22,11 +22,11 @@ SEGMENT = 20_000
 
 
 def attempts(responses: DataFrame) -> DataFrame:
-    """record_id, attempt_no, endpoint, duration_ms, outcome, status of every request attempt."""
-    rows = one_each(responses, "record_id", "body", "received_at").select(F.col("row_key").cast("bigint").alias("record_id"), "value")
-    rows = child_level(rows, Level("$.attempts[]", "$", "attempts", "list"), keep=("record_id",)).withColumnRenamed("ord", "attempt_no").where(~F.is_variant_null("value"))
+    """record_id, area_id, attempt_no, endpoint, duration_ms, outcome, status, response (VARIANT) of every request attempt."""
+    rows = one_each(responses, "record_id", "body", "received_at").select(F.col("row_key").cast("bigint").alias("record_id"), F.try_variant_get("value", "$.batch.area_id", "string").alias("area_id"), "value")
+    rows = child_level(rows, Level("$.attempts[]", "$", "attempts", "list"), keep=("record_id", "area_id")).withColumnRenamed("ord", "attempt_no").where(~F.is_variant_null("value"))
     field = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind).alias(name)
-    return rows.select("record_id", "attempt_no", field("endpoint", "string"), field("duration_ms", "bigint"), field("outcome", "string"), field("status", "int"))
+    return rows.select("record_id", "area_id", "attempt_no", field("endpoint", "string"), field("duration_ms", "bigint"), field("outcome", "string"), field("status", "int"), field("response", "variant"))
 
 
 def smoothed_latency(log: DataFrame, group: str, order: list[str], value: str, ok: Column) -> DataFrame:
@@ -76,10 +76,18 @@ def smoothed_latency(log: DataFrame, group: str, order: list[str], value: str, o
     return out.withColumnRenamed("g", group)
 
 
-def endpoint_ranks(stats: DataFrame, preferred: str | None = None) -> DataFrame:
-    """Endpoints by score, the smaller first; equal ones by name. There is a row an endpoint, so one task ranks them."""
-    score = F.col("latency_ms") + F.col("failure_streak") * PENALTY_MS - F.when(F.col("endpoint") == F.lit(preferred), BONUS_MS).otherwise(0)
-    return stats.withColumn("score", score).withColumn("rank", F.row_number().over(W.orderBy("score", "endpoint")))
+def endpoint_ranks(stats: DataFrame, preferred: DataFrame | None = None, ordinals: DataFrame | None = None) -> DataFrame:
+    """Endpoints by score, the smaller first; equal ones by their place in the list, or by name. There is a row an endpoint, so one task ranks them.
+
+    ``preferred`` (endpoint, at most one row) takes a bonus; ``ordinals`` (endpoint, ordinal) is the default order.
+    """
+    score, order = F.col("latency_ms") + F.col("failure_streak") * PENALTY_MS, ["endpoint"]
+    if preferred is not None:
+        stats = stats.join(F.broadcast(preferred.select("endpoint", F.lit(True).alias("_liked"))), "endpoint", "left")
+        score = score - F.when(F.coalesce("_liked", F.lit(False)), BONUS_MS).otherwise(0)
+    if ordinals is not None:
+        stats, order = stats.join(F.broadcast(ordinals), "endpoint", "left"), ["ordinal", "endpoint"]
+    return stats.withColumn("score", score).withColumn("rank", F.row_number().over(W.orderBy("score", *order))).drop("_liked")
 
 
 def weighted_lru(accesses: DataFrame, group: str, order: list[str], key: str, weight: str, max_entries: int, max_weight: float) -> DataFrame:

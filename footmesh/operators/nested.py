@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footmesh.functions.codec import once
 from footmesh.runtime import cut
 
 # An object path with more distinct keys than this is an open map, not a record.
@@ -58,11 +59,6 @@ def repaired(text: Column) -> Column:
     return F.pandas_udf(_repaired, T.StringType())(text)
 
 
-def once(value: Column, use) -> Column:
-    """Bind a costly expression to a lambda variable, so that it is computed once however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _whole(text: Column) -> Column:
     # in brackets, since the parser by itself stops at the end of the first value and ignores what follows
     return once(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"), lambda vs: F.when(F.size(vs) == 1, vs[0]))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footmesh.functions.codec import to_fixed
-from footmesh.functions.geo import METERS_PER_DEGREE, present
+from footmesh.functions.geo import METERS_PER_DEGREE, finite
 from footmesh.functions.scalars import PADDING_M, box_area_m2, outward, pad_box, radius_bucket
 
 # Modes in canonical order with their default radius in metres; a batch's cell in degrees and its size.
@@ -24,8 +24,8 @@ def default_radius(type_: Column) -> Column:
 
 
 def valid_stop(known_type: bool = True) -> Column:
-    """Position there, id and name not null, type one of the three. Latitude and longitude have no bounds."""
-    ok = F.col("id").isNotNull() & F.col("name").isNotNull() & present(F.col("lat"), F.col("lon"))
+    """Position finite, id and name not null, type one of the three. Latitude and longitude have no bounds."""
+    ok = F.col("id").isNotNull() & F.col("name").isNotNull() & finite(F.col("lat"), F.col("lon"))
     return ok & F.col("type").isin(*TYPES) if known_type else ok
 
 

@@ -29,7 +29,7 @@ def p5_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops in the boxes that the requests of each area span, whatever their size.
 
     A box takes the shortest arc of longitudes that holds the area's requests, so it may lie over the
-    180th meridian. The SQL leaves out boxes of a degree or more.
+    180th meridian.
     """
     asked = table(spark, sf_dir, "requests").where("lat is not null and not isnan(lat) and lon is not null and not isnan(lon)").select("area_id", "lat", "lon")
     box = asked.groupBy("area_id").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).where("s < n and w < e")
@@ -111,6 +111,10 @@ with s as (select distinct id, lat, lon from stops where id is not null and lat
 select distinct a.id as id_a, b.id as id_b from s a join s b on a.id < b.id and abs(a.lat - b.lat) < 0.01 and {haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} <= 150""",
     "p5_region": """
 with s as (select distinct id, lat, lon from stops where id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and not (lat = 0 and lon = 0)),
-b as (select area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from requests where lat is not null and not isnan(lat) and lon is not null and not isnan(lon) group by area_id)
-select distinct id, area_id as region_id from s join b on lat >= b.s and lat < b.n and lon >= b.w and lon < b.e where b.s < b.n and b.w < b.e and b.e - b.w < 1 and b.n - b.s < 1""",
+q as (select area_id, lat, lon from requests where lat is not null and not isnan(lat) and lon is not null and not isnan(lon)),
+b as (select area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from q group by area_id having min(lat) < max(lat) and min(lon) < max(lon)),
+g as (select area_id, lon, lead(lon) over (partition by area_id order by lon) as nxt from (select distinct area_id, lon from q)),
+o as (select area_id, arg_max(nxt, (nxt - lon, nxt, lon)) as ow, arg_max(lon, (nxt - lon, nxt, lon)) as oe, max(nxt - lon) as gap from g where nxt is not null group by 1),
+x as (select b.*, ow, oe, e - w between 180 and 360 and gap > 360 - (e - w) as over from b left join o using (area_id))
+select distinct id, area_id as region_id from s join x on lat >= x.s and lat < x.n and case when over then lon >= ow or lon < oe else lon >= w and lon < e end""",
 }

@@ -96,13 +96,20 @@ CROSS = (
 )"""
 )
 
-#: Distinct origins of the requests whose area has a network, and the largest radius asked of each.
-ORIGINS = """, rq as materialized (
-  select distinct request_id, area_id, lat, lon, case when radius_m is null or isnan(radius_m) or isinf(radius_m) then 300e0 else least(2000e0, greatest(100e0, floor(radius_m / 50 + 0.5) * 50)) end as radius_m
-  from requests where lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and area_id in (select area_id from gn)
+CLAMP = "case when radius_m is null or isnan(radius_m) or isinf(radius_m) then 300e0 else least(2000e0, greatest(100e0, floor(radius_m / 50 + 0.5) * 50)) end"
+ASKED = f"select distinct request_id, area_id, lat, lon, {CLAMP} as radius_m from requests"
+
+
+def origins_sql(asked: str) -> str:
+    """Distinct origins of what is asked in areas that have a network, and the largest radius asked of each."""
+    return f""", rq as materialized (
+  select * from ({asked}) where lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and area_id in (select area_id from gn)
 ), og as materialized (select area_id, lat || '|' || lon as origin, lat, lon, max(radius_m) as max_m from rq group by 1, 2, 3, 4
 )"""
 
+
+ORIGINS = origins_sql(ASKED)
+
 COMPONENTS = """, both_ways as (select area_id, u as a, v as b from ex union all select area_id, v, u from ex
 ), cc(area_id, id, c) using key (area_id, id) as (
   select area_id, id, id from gn

@@ -23,10 +23,6 @@ def stop_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.drop_near_duplicates(stop_valid(spark, sf_dir), F.col("is_custom").isNull()).select("id", "name", "lat", "lon", "type")
 
 
-def stop_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_valid(spark, sf_dir).orderBy(F.collate("name", "de"), "id").select("id", "name")
-
-
 def stop_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_valid(spark, sf_dir).groupBy("type").agg(F.count("*").alias("stops"), F.first(stops.default_radius(F.col("type"))).alias("radius_m"))
 
@@ -51,7 +47,7 @@ def stop_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops of the visible types without those whose requests lack a radius (the disabled ones)."""
+    """Stops of the visible types without the disabled ones; as disabled count the stops that were asked for without a radius."""
     shown = spark.createDataFrame([("tram", True), ("train", True), ("bus", False)], "type string, visible boolean")
     off = table(spark, sf_dir, "requests").where("radius_m is null and stop_id is not null").select(F.trim("stop_id").alias("id")).distinct()
     return stop_valid(spark, sf_dir).join(F.broadcast(shown.where("visible")), "type").join(off, "id", "left_anti").select("id", "type", "lat", "lon")
@@ -71,7 +67,7 @@ def request_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "requests").select("request_id", scalars.clamp_radius(F.col("radius_m"), F.lit(300.0)).alias("radius_m"), scalars.radius_bucket(scalars.clamp_radius(F.col("radius_m"), F.lit(300.0))).alias("bucket_m"))
 
 
-def request_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "requests").distinct()
     return rows.groupBy("area_id").agg(F.count("*").alias("total"), F.count_if(F.col("stop_id").isNull()).alias("without_stop"), F.count_if(F.col("radius_m").isNull()).alias("without_radius"), F.count_if(F.expr("received_at > requested_at + interval 1 hour")).alias("late"))
 
@@ -103,10 +99,10 @@ def http_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (stop_valid, stop_all, stop_dedup, stop_sorted, stop_types, stop_batches, batch_areas, stop_in_view, stop_nearest, stop_visible, stop_circles, stop_keys, request_radius, request_progress, request_bursts, cache_kept, cache_evictions, http_metrics, http_endpoints)
+    f.__name__: f for f in (stop_valid, stop_all, stop_dedup, stop_types, stop_batches, batch_areas, stop_in_view, stop_nearest, stop_visible, stop_circles, stop_keys, request_radius, request_counts, request_bursts, cache_kept, cache_evictions, http_metrics, http_endpoints)
 }
 
-VALID = """sv as (select distinct id, name, lat, lon, type, is_custom from stops where id is not null and name is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)
+VALID = """sv as (select distinct id, name, lat, lon, type, is_custom from stops where id is not null and name is not null and lat is not null and lon is not null and isfinite(lat) and isfinite(lon)
   and type in ('tram', 'train', 'bus') and not coalesce(is_custom, false))"""
 RADIUS = "case type when 'tram' then 300e0 when 'train' then 400e0 when 'bus' then 200e0 end"
 BATCHES = f"""{VALID}, sb as (
@@ -120,10 +116,9 @@ ATTEMPTS = S.ELEMENTS.split("), el as (")[0] + "), at2 as (select record_id, att
 SQL = {
     "stop_valid": f"with {VALID} select * from sv",
     "stop_all": f"""with {VALID} select * from sv union all select distinct id, name, lat, lon, case when type in ('tram', 'train', 'bus') then type else 'tram' end as type, true as is_custom from custom_stops
-where id is not null and name is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)""",
+where id is not null and name is not null and lat is not null and lon is not null and isfinite(lat) and isfinite(lon)""",
     "stop_dedup": f"""with {VALID} select id, name, lat, lon, type from sv s where is_custom is not null or not exists (
   select 1 from sv o where o.is_custom is not null and o.name = s.name and sqrt(pow((s.lat - o.lat) * 111320e0, 2) + pow((s.lon - o.lon) * 111320e0 * cos(radians((s.lat + o.lat) / 2)), 2)) <= 150)""",
-    "stop_sorted": f"with {VALID} select id, name from sv",
     "stop_types": f"with {VALID} select type, count(*) as stops, {RADIUS} as radius_m from sv group by type",
     "stop_batches": f"with {BATCHES} select id, lat, lon, type, cell_lat, cell_lon, batch_no from sb",
     "batch_areas": f"""with {BATCHES}, g as (
@@ -142,7 +137,7 @@ select id, type, lat, lon, count(*) as vertices, round(max(py), 7) as north, rou
     "stop_keys": f"""with {VALID} select id || ':' || type || ':' || {NUM.format("lat")} || ':' || {NUM.format("lon")} as polygon_key, type as key_type,
   id || ':v2:crossings:' || cast(cast({RADIUS} as bigint) as varchar) || ':' || format('{{:.6f}}', lat) || ':' || format('{{:.6f}}', lon) as result_key from sv""",
     "request_radius": f"select request_id, {CLAMP} as radius_m, {BUCKET.format(CLAMP)} as bucket_m from requests",
-    "request_progress": "select area_id, count(*) as total, count(*) filter (stop_id is null) as without_stop, count(*) filter (radius_m is null) as without_radius, count(*) filter (received_at > requested_at + interval 1 hour) as late from (select distinct * from requests) group by 1",
+    "request_counts": "select area_id, count(*) as total, count(*) filter (stop_id is null) as without_stop, count(*) filter (radius_m is null) as without_radius, count(*) filter (received_at > requested_at + interval 1 hour) as late from (select distinct * from requests) group by 1",
     "request_bursts": """with d as (select distinct * from requests where area_id is not null and requested_at is not null), g as (
   select *, case when requested_at < lag(requested_at) over w + interval 2 hour then 0 else 1 end as fresh from d window w as (partition by area_id order by requested_at)
 ), s as (select *, sum(fresh) over (partition by area_id order by requested_at rows unbounded preceding) as burst from g)
@@ -156,4 +151,13 @@ select key, kind, updated_at from r where (kind = 'polygon' and rn <= 4000) or (
 ), k as (select endpoint, count(*) as tail from o p where (record_id, attempt_no) > coalesce((select max((record_id, attempt_no)) from o q where q.endpoint = p.endpoint and q.outcome = 'ok'), (-1, -1)) group by 1
 ), t as (select l.endpoint, cast(list_reduce(xs, lambda a, b: floor(a * 0.75e0 + b * 0.25e0 + 0.5)) as bigint) as latency_ms, cast(least(6, coalesce(tail, 0)) as bigint) as failure_streak, successes from l left join k using (endpoint))
 select *, latency_ms + failure_streak * 1500 as score, cast(row_number() over (order by latency_ms + failure_streak * 1500, endpoint) as integer) as rank from t""",
+    "cache_evictions": """with recursive rw as (select *, row_number() over (partition by area_id order by requested_at, request_id, stop_id) - 1 as no from (select distinct * from requests) where area_id is not null and stop_id is not null
+), st as (
+  select area_id, cast(-1 as bigint) as no, cast([] as struct(k varchar, w double)[]) as held, cast([] as varchar[]) as gone from rw group by 1
+  union all
+  select area_id, no, list_slice(h, cut + 1, len(h)), list_transform(list_slice(h, 1, cut), lambda x: x.k) from (
+    select *, coalesce(list_filter(range(0, len(h)), lambda m: len(h) - m <= 12 and (len(h) - m <= 1 or list_sum(list_transform(list_slice(h, m + 1, len(h)), lambda x: x.w)) <= 3000))[1], len(h) - 1) as cut from (
+      select rw.area_id, rw.no, list_append(list_filter(st.held, lambda x: x.k <> rw.stop_id), struct_pack(k := rw.stop_id, w := coalesce(rw.radius_m, 0e0))) as h
+      from st join rw on rw.area_id = st.area_id and rw.no = st.no + 1)))
+select area_id, unnest(gone) as stop_id, no as evicted_at from st""",
 }

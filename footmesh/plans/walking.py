@@ -19,8 +19,9 @@ from footmesh.sources import network as N
 class Walk:
     """The stages of the pipeline over one set of tables, each made when first asked for and kept."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, with_crossings: bool = True):
-        self.spark, self.dir, self.crossing = spark, sf_dir, with_crossings
+    def __init__(self, spark: SparkSession, sf_dir: str, with_crossings: bool = True, wanted: DataFrame | None = None):
+        """``wanted``: request_id, area_id, lat, lon, radius_m in place of the table of requests."""
+        self.spark, self.dir, self.crossing, self.wanted = spark, sf_dir, with_crossings, wanted
         self._made: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -54,7 +55,9 @@ class Walk:
         """request_id, area_id, origin, lat, lon, radius_m of every request, repeats once."""
 
         def make() -> DataFrame:
-            rows = table(self.spark, self.dir, "requests").select("request_id", "area_id", "lat", "lon", clamp_radius(F.col("radius_m"), F.lit(300.0)).alias("radius_m")).distinct()
+            rows = self.wanted
+            if rows is None:
+                rows = table(self.spark, self.dir, "requests").select("request_id", "area_id", "lat", "lon", clamp_radius(F.col("radius_m"), F.lit(300.0)).alias("radius_m")).distinct()
             return cut(rows.withColumn("origin", F.concat_ws("|", F.col("lat").cast("string"), F.col("lon").cast("string"))))
 
         return self._once("asked", make)
@@ -201,16 +204,28 @@ def walk_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [paths.where(F.col("d") <= r).groupBy("area_id", "origin").agg(F.count("*").alias("nodes")).withColumn("radius_m", F.lit(r)) for r in radii])
 
 
+def walk_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct points of each request on the centimetre grid of its plane, with their extent in centimetres."""
+    cm = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("bigint")
+    rows = Walk(spark, sf_dir).local.select("request_id", cm("x").alias("x"), cm("y").alias("y"))
+    return rows.groupBy("request_id").agg(F.count("*").alias("points"), F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north"))
+
+
+def walk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a request: whether it has a polygon, or why not."""
+    return walk_polygons(spark, sf_dir).groupBy("request_id").agg(F.coalesce(F.max("reason"), F.lit("polygon")).alias("state"))
+
+
 def walk_convex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corner counts of the convex hulls."""
     return hulls(Walk(spark, sf_dir).local, concave=False).groupBy("request_id").agg(F.count("*").alias("corners"))
 
 
 QUERIES = {
-    f.__name__: f for f in (net_nodes, net_ways, net_recurse_down, graph_index, graph_edges, graph_segment_cells, graph_crossings, graph_components, snap_edges, snap_seeds, walk_distances, walk_boundary, walk_polygons, walk_encoded, walk_geojson, walk_radii, walk_convex)
+    f.__name__: f for f in (net_nodes, net_ways, net_recurse_down, graph_index, graph_edges, graph_segment_cells, graph_crossings, graph_components, snap_edges, snap_seeds, walk_distances, walk_boundary, walk_polygons, walk_encoded, walk_geojson, walk_radii, walk_local, walk_states, walk_convex)
 }
 
-_BOUNDARY = """, ux as (select distinct request_id, rq.area_id, rq.lat || '|' || rq.lon as origin, radius_m from rq join sd on sd.area_id = rq.area_id and sd.origin = rq.lat || '|' || rq.lon where radius_m - d0 >= 1
+BOUNDARY = """, ux as (select distinct request_id, rq.area_id, rq.lat || '|' || rq.lon as origin, radius_m from rq join sd on sd.area_id = rq.area_id and sd.origin = rq.lat || '|' || rq.lon where radius_m - d0 >= 1
 ), rc as (select request_id, ux.area_id, id, d, radius_m from ux join sp on sp.area_id = ux.area_id and sp.origin = ux.origin where d <= radius_m
 ), bp as (
   select request_id, lat, lon, false as is_cut from rc join gn using (area_id, id)
@@ -218,6 +233,15 @@ _BOUNDARY = """, ux as (select distinct request_id, rq.area_id, rq.lat || '|' ||
   select request_id, p.lat + (q.lat - p.lat) * ((radius_m - d) / w), p.lon + (q.lon - p.lon) * ((radius_m - d) / w), true
   from rc join arcs on arcs.area_id = rc.area_id and arcs.a = rc.id join gn p on p.area_id = rc.area_id and p.id = arcs.a join gn q on q.area_id = rc.area_id and q.id = arcs.b where radius_m - d > 0 and radius_m - d < w
 )"""
+#: Distinct points of the plane around each request's position, in whole centimetres.
+LOCAL = """, lp as materialized (select distinct request_id, cast(floor((bp.lon - rq.lon) * (111320e0 * greatest(0.2e0, cos(radians(rq.lat)))) * 100 + 0.5) as bigint) as x, cast(floor((bp.lat - rq.lat) * 111320e0 * 100 + 0.5) as bigint) as y from bp join rq using (request_id))"""
+#: A point is a corner where the directions to all others leave more than half a turn open; coordinates are whole, so the test is exact.
+CONVEX = """, dir as (select a.request_id, a.x, a.y, b.x - a.x as dx, b.y - a.y as dy from lp a join lp b on a.request_id = b.request_id and (a.x <> b.x or a.y <> b.y)
+), trn as (select *, coalesce(lead(dx) over w, first_value(dx) over w) as nx, coalesce(lead(dy) over w, first_value(dy) over w) as ny from dir window w as (partition by request_id, x, y order by atan2(dy, dx), dx, dy)
+), cn as (select distinct request_id, x, y from trn where dx * ny - dy * nx < 0)"""
+#: Requests whose points don't all lie on one line.
+SOLID = """, ends as (select request_id, arg_min(x, (x, y)) as x0, arg_min(y, (x, y)) as y0, arg_max(x, (x, y)) as x1, arg_max(y, (x, y)) as y1 from lp group by 1
+), sol as materialized (select distinct request_id from lp join ends using (request_id) where (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) <> 0)"""
 
 SQL = {
     "net_nodes": f"with {S.ELEMENTS} select * from nd",
@@ -234,5 +258,12 @@ select area_id, u, v, cell_y, unnest(range(x0, x1 + 1)) as cell_x from (select *
     "snap_edges": f"with {S.CROSS}{S.ORIGINS}, sn as ({S.snap_sql('og', 'ex', '250e0')}) select area_id, origin, round(snap_m, 6) as snap_m from sn",
     "snap_seeds": f"with recursive {S.CROSS}{S.ORIGINS}{S.SEEDS} select area_id, origin, id, round(d0, 6) as d0 from sd",
     "walk_distances": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS} select area_id, origin, id, round(d, 6) as d from sp",
-    "walk_boundary": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{_BOUNDARY} select request_id, count(*) as points, count(*) filter (is_cut) as cuts, round(max(lat), 7) as lat, round(max(lon), 7) as lon from bp group by 1",
+    "walk_boundary": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{BOUNDARY} select request_id, count(*) as points, count(*) filter (is_cut) as cuts, round(max(lat), 7) as lat, round(max(lon), 7) as lon from bp group by 1",
+    "walk_local": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{BOUNDARY}{LOCAL} select request_id, count(*) as points, min(x) as west, max(x) as east, min(y) as south, max(y) as north from lp group by 1",
+    "walk_convex": f"with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{BOUNDARY}{LOCAL}{CONVEX}{SOLID} select request_id, count(*) as corners from cn semi join sol using (request_id) group by 1",
+    "walk_states": f"""with recursive {S.CROSS}{S.ORIGINS}{S.PATHS}{BOUNDARY}{LOCAL}{SOLID}
+select request_id, case when request_id in (select request_id from sol) then 'polygon' when request_id in (select request_id from rq join sd on sd.area_id = rq.area_id and sd.origin = rq.lat || '|' || rq.lon) then 'invalid-polygon' else 'no-nearby-edge' end as state
+from (select distinct request_id from requests)""",
+    "walk_radii": f"""with recursive {S.CROSS}{S.origins_sql(S.ASKED.replace(S.CLAMP, "300e0"))}{S.PATHS}
+select area_id, origin, count(*) as nodes, r as radius_m from sp join (select unnest([100e0, 200e0, 300e0]) as r) on d <= r group by area_id, origin, r""",
 }

@@ -1,4 +1,4 @@
-"""Shipped polygon datasets: one Parquet partition a stop type and radius."""
+"""Shipped polygon datasets: one Parquet partition a stop type and radius. Stored results: versions of a table."""
 
 from __future__ import annotations
 
@@ -20,8 +20,13 @@ def read_datasets(spark: SparkSession, path: str, type_: str | None = None, radi
     return rows if radius_m is None else rows.where(F.col("radius_m") == radius_m)
 
 
-def upsert(path: str, stored: DataFrame, changes: DataFrame, key: str) -> None:
-    """Write ``stored`` with ``changes`` put over it by key; a change whose other columns are all null deletes."""
-    others = [c for c in changes.columns if c != key]
-    keep = stored.join(changes.select(key), key, "left_anti").unionByName(changes.where(F.coalesce(*(F.col(c).isNotNull().cast("int") for c in others), F.lit(0)) >= 0).where(" or ".join(f"`{c}` is not null" for c in others)))
-    keep.write.mode("overwrite").parquet(path)
+def upserted(stored: DataFrame, changes: DataFrame, key: str, at: str) -> DataFrame:
+    """``stored`` with ``changes`` put over it by key, the latest by ``at`` of several; a change whose ``kind`` is null deletes.
+
+    Both have the same columns. A null key changes nothing. The result is a new table: write it beside the
+    old one and switch, since a table cannot be overwritten while it is read.
+    """
+    columns = stored.columns
+    last = changes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), F.struct(at, *[c for c in columns if c not in (at, key)])).alias("_v"))
+    kept = stored.join(last.select(F.col("_k").alias(key)), key, "left_anti").select(*columns)
+    return kept.unionByName(last.where("_v.kind is not null").select("_v.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footmesh.functions.geo import finite
 from footmesh.operators.nested import Level, as_list, as_map, child_level, number_text, once, one_each
 from footmesh.runtime import cut
 
@@ -28,7 +29,7 @@ def elements(responses: DataFrame, key: str = "record_id", body: str = "body", o
 def nodes_of(elems: DataFrame) -> DataFrame:
     """area_id, id, lat, lon: the last of several nodes of one id holds; nodes without a finite position are left out."""
     lat, lon = (F.try_variant_get("value", f"$.{c}", "double") for c in ("lat", "lon"))
-    rows = elems.where("kind = 'node'").select("area_id", *ORDER, "id", lat.alias("lat"), lon.alias("lon")).where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    rows = elems.where("kind = 'node'").select("area_id", *ORDER, "id", lat.alias("lat"), lon.alias("lon")).where(finite(F.col("lat"), F.col("lon")))
     last = rows.groupBy("area_id", "id").agg(F.max_by(F.struct("lat", "lon"), F.struct(*ORDER)).alias("p"))
     return last.select("area_id", "id", "p.lat", "p.lon")
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUICK = ("p1_found", "p2_found", "p5_found", "p5_region", "graph_edges", "graph_index", "stop_dedup", "batch_areas", "stop_keys", "request_bursts", "http_endpoints", "http_metrics", "cache_kept")
+QUICK = ("p1_found", "p2_found", "p5_found", "p5_region", "graph_edges", "graph_index", "stop_dedup", "batch_areas", "stop_keys", "request_bursts", "http_endpoints", "http_metrics", "cache_kept", "etl_stops", "stop_sorted", "serve_lookup", "serve_settle", "net_payloads", "settings_changed", "view_current", "build_traversals", "cache_evictions", "walk_convex")
 
 
 def rows(names, values):
