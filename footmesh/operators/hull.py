@@ -46,6 +46,12 @@ def gap(x: np.ndarray, y: np.ndarray, ax: float, ay: float, bx: float, by: float
     return (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2
 
 
+def crosses(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> bool:
+    """Whether a-b properly crosses any of the segments c-d; what only touches does not cross."""
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    return bool(np.any((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)))
+
+
 class Ring:
     """A ring under change: corners, their successors, and the edges as arrays for vectorised crossing tests."""
 
