@@ -1,10 +1,13 @@
 """Matching entities across sources without keys (problem 4).
 
-Candidates come from two blockings, by place name and by position. Heuristic matching functions vote on
-each: for a match, against it, or not at all. A generative label model, fitted by expectation
-maximisation on the counts of the vote patterns, learns how often each function is right and which
-functions err together (those vote as one), and gives each pattern the posterior probability of a
-match. The patterns are a fixed number, so the model sees all candidates and the driver only counts.
+Candidates come from several blockings: by the stop that a name was resolved to, and, for rows whose stop
+the other source does not know, by position. Heuristic matching functions vote on each: for a match, against
+it, or not at all. A generative label model, fitted by expectation maximisation on the counts of the vote
+patterns, learns how often each function is right in either class and which functions err together (those
+are modelled jointly), and gives each pattern the posterior probability of a match. The patterns are a fixed
+number, so the model sees all candidates and the driver only counts.
+
+What the codes of the other source's modes mean is learned from the candidates too.
 """
 
 from __future__ import annotations
@@ -17,44 +20,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footmesh.functions.geo import haversine_m, present
-from footmesh.llm.names import distance, fold, resolve_names
+from footmesh.llm.names import fold, resolve_names
+from footmesh.llm.pairs import crossed
 from footmesh.runtime import cut
 
-# Codes of the modes in several systems, folded.
-MODES = {
-    "bus": ("bus", "omnibus", "stadtbus", "autobus", "3", "700"),
-    "tram": ("tram", "strab", "strassenbahn", "stadtbahn", "0", "900"),
-    "train": ("train", "zug", "bahn", "spnv", "eisenbahn", "rail", "2", "100"),
-}
-VOTES = ("v_place", "v_text", "v_direction", "v_near", "v_kind")
-# Metres within which a position speaks for a match, from which it speaks against, and of a cell of the blocking by position.
-NEAR_M, FAR_M, CELL_DEG = 250.0, 1_500.0, 0.004
+VOTES = ("v_town", "v_place", "v_text", "v_direction", "v_near", "v_mode")
+# Metres within which a position speaks for a match, from which it speaks against, and within which rows of unknown stops are compared.
+NEAR_M, FAR_M, REACH_M = 250.0, 1_500.0, 250.0
+METERS_PER_DEGREE = 111_194.9
+# The share of letter pairs in common from which texts are alike.
+ALIKE = 0.8
 # Functions whose votes are correlated by more than this, given the class, are modelled together.
 DEPENDENCE = 0.7
+# How often each function is believed to be right before any data, as if so many candidates had shown it: towns, directions, modes and positions agree by chance too.
+RIGHT, BELIEF = {"v_town": 0.6, "v_place": 0.98, "v_text": 0.95, "v_direction": 0.6, "v_near": 0.6, "v_mode": 0.6}, 20.0
 
 
-def mode_of(c: Column) -> Column:
-    code = F.lower(F.trim(c))
-    code = F.regexp_replace(code, "ß", "ss")
-    out = F.when(code.isin(*MODES["bus"]), "bus")
-    for mode in ("tram", "train"):
-        out = out.when(code.isin(*MODES[mode]), mode)
-    return out.otherwise(F.nullif(code, F.lit("")))
+def mode_code(c: Column) -> Column:
+    """A mode's code without case and surrounding blanks; empty is null."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
 
 
 def prepared(rows: DataFrame, key: str, name: str, lat: str, lon: str, mode: str) -> DataFrame:
     la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     there = present(la, lo) & ~((la == 0) & (lo == 0))
-    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(name).alias("name"), F.when(there, la).alias("lat"), F.when(there, lo).alias("lon"), mode_of(F.col(mode)).alias("mode")).distinct()
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(name).alias("name"), F.when(there, la).alias("lat"), F.when(there, lo).alias("lon"), mode_code(F.col(mode)).alias("mode")).distinct()
+
+
+def _pairs_of_letters(text: str) -> set[str]:
+    letters = "".join(c for c in fold(text) if c.isalnum())
+    return {letters[k : k + 2] for k in range(len(letters) - 1)} or {letters}
 
 
 def _texts_alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """v_text: by the share of letter pairs in common, of the places where both towns are known, else of the whole names."""
     for frame in frames:
         votes = []
-        for a, b in zip(frame["l_name"], frame["r_name"]):
-            x, y = ("".join(sorted(w for w in "".join(c if c.isalnum() else " " for c in fold(t)).split() if len(w) > 2)) for t in (a, b))
-            most = max(2, max(len(x), len(y)) // 6)
-            votes.append(1 if distance(x, y, most) <= most else -1)
+        known = (frame["l_town"] != "") & (frame["r_town"] != "")
+        for k, a, b, x, y in zip(known, frame["l_name"], frame["r_name"], frame["l_place"], frame["r_place"]):
+            p, q = (_pairs_of_letters(t) for t in ((x, y) if k else (a, b)))
+            share = 2 * len(p & q) / (len(p) + len(q))
+            votes.append(1 if share >= ALIKE else -1)
         yield frame.assign(v_text=np.array(votes, np.int32))
 
 
@@ -65,7 +71,8 @@ class LabelModel:
     they say. So each pair is judged by the classes that all other functions suggest.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, right: list[float] | None = None):
+        self.right = right or [0.85] * patterns.shape[1]
         self.patterns, self.counts, self.rounds = patterns, counts.astype(float), rounds
         every = list(range(patterns.shape[1]))
         self.groups = self._dependent(every)
@@ -87,14 +94,25 @@ class LabelModel:
             odds = np.full(len(post), np.log(prior) - np.log1p(-prior))
             for g, code in zip(groups, codes):
                 size = 3 ** len(g)
-                yes = np.bincount(code, self.counts * post, size) + 0.1
-                no = np.bincount(code, self.counts * (1 - post), size) + 0.1
-                odds += np.log(yes / yes.sum())[code] - np.log(no / no.sum())[code]
+                yes = np.bincount(code, self.counts * post, size) + BELIEF * self._believed(g)
+                no = np.bincount(code, self.counts * (1 - post), size) + BELIEF * self._believed(g)[::-1]
+                # who abstains, alone or as a whole group, says nothing about the class
+                speaks = np.any(self.patterns[:, g] != 0, axis=1)
+                spoken = np.unique(code[speaks])
+                if len(spoken):
+                    odds += np.where(speaks, np.log(yes / yes[spoken].sum())[code] - np.log(no / no[spoken].sum())[code], 0.0)
             post = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
             if np.abs(post - before).max() < 1e-9:
                 break
         return post
 
+    def _believed(self, group: list[int]) -> np.ndarray:
+        """Shares of a group's vote codes among matches before any data; read backwards, among the others."""
+        shares = np.ones(1)
+        for k in group:
+            shares = np.outer(shares, [1 - self.right[k], 0.5, self.right[k]]).ravel()
+        return shares / shares.sum()
+
     def _dependent(self, every: list[int]) -> list[list[int]]:
         """Groups of functions whose votes are correlated within the classes of the others."""
         group = {k: k for k in every}
@@ -113,50 +131,88 @@ class LabelModel:
         return [[k for k in every if group[k] == g] for g in dict.fromkeys(group.values())]
 
 
+def near_rows(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
+    """Pairs of ``left`` (l_lat, l_lon) and ``right`` (r_lat, r_lon), all columns of both, at most ``reach_m`` apart, the right side also with its coordinates exchanged.
+
+    Rows of latitude are cut into a whole number of cells of at least that width around the globe, so
+    neighbours across the 180th meridian and at any latitude meet; latitudes beyond the poles meet nothing.
+    """
+    size = reach_m / METERS_PER_DEGREE
+    row = lambda lat: F.floor(lat / size).cast("bigint")
+    # cells of a row by the latitude of its poleward edge
+    cells = lambda r: F.greatest(F.lit(1), F.floor(F.lit(360.0) / size * F.cos(F.radians(F.least(F.lit(90.0), (F.greatest(F.abs(r), F.abs(r + 1)) + 1) * size))))).cast("bigint")
+    col = lambda lon, r: F.pmod(F.floor((lon + 180) / 360 * cells(r)).cast("bigint"), cells(r))
+    here = left.where("abs(l_lat) <= 90").withColumn("cy", row(F.col("l_lat"))).withColumn("cx", col(F.col("l_lon"), F.col("cy")))
+    ways = F.explode(F.array(F.struct(F.col("r_lat").alias("a"), F.col("r_lon").alias("o")), F.struct(F.col("r_lon").alias("a"), F.col("r_lat").alias("o")))).alias("w")
+    there = right.where("r_lat is not null and r_lon is not null").select("*", ways).where("abs(w.a) <= 90").withColumn("cy", F.explode(F.sequence(row(F.col("w.a")) - 1, row(F.col("w.a")) + 1)))
+    around = F.array_distinct(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.pmod(col(F.col("w.o"), F.col("cy")) + k, cells(F.col("cy")))))
+    there = there.withColumn("cx", F.explode(around))
+    met = crossed(here, there, ["cy", "cx"]).where(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("w.a"), F.col("w.o")) <= reach_m)
+    return met.drop("cy", "cx", "w").distinct()
+
+
+def learn_modes(pairs: DataFrame) -> DataFrame:
+    """r_code, means: what each code of the right side's modes stands for, by the left modes of the candidates of one stop.
+
+    A code that holds a mode's name means that; another the mode that it meets most often against what chance
+    gives; one that meets none stands for itself.
+    """
+    met = pairs.where("v_place = 1 and l_mode is not null and r_mode is not null").groupBy("r_mode", "l_mode").agg(F.count("*").cast("double").alias("k"))
+    by_left = met.groupBy("l_mode").agg(F.sum("k").alias("kl"))
+    lift = met.join(by_left, "l_mode").groupBy("r_mode").agg(F.max_by("l_mode", F.struct(F.contains("r_mode", "l_mode"), F.col("k") / F.col("kl"), "k", "l_mode")).alias("means"))
+    return lift.withColumnRenamed("r_mode", "r_code")
+
+
 def match_sources(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...], right_cols: tuple[str, ...], aliases: DataFrame) -> DataFrame:
-    """left_id, right_id, confidence and same (whether place name, direction and mode agree) of every candidate.
+    """left_id, right_id, confidence and same (whether nothing of it speaks for another direction or mode) of every candidate.
 
     ``*_cols`` name key, name, lat, lon and mode. A null mode stands for the only mode that other rows of
-    its place (town, street or landmark, direction) have; where they have several or none it matches
-    nothing. Rows without a key or whose name means no stop match nothing; null, NaN and zero positions
-    give no vote; a position with exchanged coordinates is compared both ways. Repeated rows count once.
+    its stop have; where they have several or none the mode does not vote. Rows without a key or whose name
+    means no stop match nothing; those whose town is not known are compared all the same. Null, NaN and zero
+    positions give no vote; exchanged coordinates are compared both ways. Repeated rows count once.
     """
     a, b = prepared(left, *left_cols), prepared(right, *right_cols)
-    names = a.groupBy("name").agg((F.count("*") * 3.0).alias("n")).unionByName(b.groupBy("name").agg(F.count("*").cast("double").alias("n")))
+    names = a.groupBy("name").agg((F.count("*") * 3.0).alias("n")).withColumn("reg", F.lit(True))
+    names = names.unionByName(b.groupBy("name").agg(F.count("*").cast("double").alias("n")).withColumn("reg", F.lit(False)))
     places = cut(resolve_names(names, aliases))
-    a, b = (x.join(places, "name").where("town <> ''") for x in (a, b))
-    spot = ["town", "place", "direction"]
-    modes = a.select(*spot, "mode").unionByName(b.select(*spot, "mode")).where("mode is not null").groupBy(*spot)
-    only = modes.agg(F.min("mode").alias("lo"), F.max("mode").alias("hi")).where("lo = hi").select(*spot, F.col("lo").alias("only"))
-    a, b = (cut(x.join(only, spot, "left").withColumn("mode", F.coalesce("mode", "only")).drop("only").where("mode is not null")) for x in (a, b))
-    cell = lambda c: F.floor(F.col(c) / CELL_DEG).cast("bigint")
-    side = lambda x, p: x.select(*(F.col(c).alias(f"{p}_{c}") for c in x.columns))
+    stop = ["town", "place", "direction"]
+    side = lambda x, p: cut(x.join(places, "name").select(*(F.col(c).alias(f"{p}_{c}") for c in (*x.columns, *stop)), F.concat_ws("|", *stop).alias(f"{p}_stop")))
     la, rb = side(a, "l"), side(b, "r")
-    by_name = la.join(rb, (F.col("l_town") == F.col("r_town")) & (F.col("l_place") == F.col("r_place")) & (F.col("l_mode") == F.col("r_mode")))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    wide = rb.where("r_lat is not null").withColumns({"cx": cell("r_lon"), "cy": cell("r_lat")}).withColumn("dx", around).withColumn("dy", around).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
-    here = la.where("l_lat is not null").withColumns({"cx": cell("l_lon"), "cy": cell("l_lat")})
-    apart = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    by_position = here.join(wide, (here["cx"] == wide["cx"]) & (here["cy"] == wide["cy"]) & (F.col("l_town") == F.col("r_town")) & (F.col("l_mode") == F.col("r_mode"))).drop("cx", "cy")
-    by_position = by_position.where((F.col("l_place") != F.col("r_place")) & (apart <= NEAR_M))
-    swapped = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lon"), F.col("r_lat"))
-    apart = F.least(apart, swapped)
-    vote = lambda yes, no=None: F.when(yes, 1).when(~yes if no is None else no, -1).otherwise(0)
-    ending = lambda c: F.regexp_extract(c, "(strasse|weg|platz|allee|gasse|ring|brucke|park|ufer|siedlung)$", 1)
-    pairs = by_name.unionByName(by_position.select(*by_name.columns)).withColumns({
-        "v_place": vote(F.col("l_place") == F.col("r_place")), "v_direction": vote(F.col("l_direction") == F.col("r_direction")),
-        "v_near": vote(F.coalesce(apart <= NEAR_M, F.lit(False)), F.coalesce(apart > FAR_M, F.lit(False))), "v_kind": vote(ending("l_place") == ending("r_place")),
+    by_stop = crossed(la.withColumn("stop", F.col("l_stop")), rb.withColumn("stop", F.col("r_stop")), ["stop"]).drop("stop")
+    # what the other side does not know by its stop may be spelt beyond recognition, or have no town
+    odd_left = la.join(rb.select(F.col("r_stop").alias("l_stop")).distinct(), "l_stop", "left_anti").select(*la.columns)
+    odd_right = rb.join(la.select(F.col("l_stop").alias("r_stop")).distinct(), "r_stop", "left_anti").select(*rb.columns)
+    known_right = rb.join(la.select(F.col("l_stop").alias("r_stop")).distinct(), "r_stop", "left_semi").select(*rb.columns)
+    odd_left, odd_right, known_right = cut(odd_left), cut(odd_right), cut(known_right)
+    by_place = near_rows(la, odd_right, REACH_M).unionByName(near_rows(odd_left, known_right, REACH_M))
+    pairs = by_stop.select(*la.columns, *rb.columns).unionByName(by_place.select(*la.columns, *rb.columns))
+    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    differ = lambda c: vote(F.col(f"l_{c}") == F.col(f"r_{c}"), F.col(f"l_{c}") != F.col(f"r_{c}"))
+    apart = F.least(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")), haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lon"), F.col("r_lat")))
+    towns = (F.col("l_town") != "") & (F.col("r_town") != "")
+    pairs = pairs.withColumns({
+        "v_town": F.when(towns, differ("town")).otherwise(0), "v_place": F.when(F.col("l_stop") == F.col("r_stop"), 1).when(F.col("l_place") == F.col("r_place"), 0).otherwise(-1),
+        "v_direction": F.when((F.col("l_direction") == "") & (F.col("r_direction") == ""), 1).otherwise(differ("direction")),
+        "v_near": vote(F.coalesce(apart <= NEAR_M, F.lit(False)), F.coalesce(apart > FAR_M, F.lit(False))),
     })
     schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", v_text int"
     pairs = cut(pairs.mapInPandas(_texts_alike, schema))
+    codes = cut(learn_modes(pairs))
+    means = lambda df: df.join(F.broadcast(codes.withColumnRenamed("r_code", "r_mode")), "r_mode", "left").withColumn("r_mode", F.coalesce("means", "r_mode")).drop("means")
+    rb_modes = means(rb)
+    modes = la.select(F.col("l_stop").alias("stop"), F.col("l_mode").alias("mode")).unionByName(rb_modes.select(F.col("r_stop").alias("stop"), F.col("r_mode").alias("mode"))).where("mode is not null").groupBy("stop")
+    only = cut(modes.agg(F.min("mode").alias("lo"), F.max("mode").alias("hi")).where("lo = hi").select("stop", F.col("lo").alias("only")))
+    fill = lambda df, p: df.join(only.withColumnsRenamed({"stop": f"{p}_stop", "only": f"{p}_only"}), f"{p}_stop", "left").withColumn(f"{p}_mode", F.coalesce(f"{p}_mode", f"{p}_only")).drop(f"{p}_only")
+    pairs = fill(fill(means(pairs), "l"), "r").withColumn("v_mode", differ("mode"))
+    pairs = cut(pairs.select("l_id", "r_id", *VOTES))
     counted = pairs.groupBy(*VOTES).count().orderBy(*VOTES).toPandas()
     spark = left.sparkSession
     schema = ", ".join(f"{v} int" for v in VOTES) + ", confidence double"
+    table = []
     if len(counted):
-        model = LabelModel(counted[list(VOTES)].to_numpy(int), counted["count"].to_numpy())
+        model = LabelModel(counted[list(VOTES)].to_numpy(int), counted["count"].to_numpy(), right=[RIGHT[v] for v in VOTES])
         table = [(*map(int, p), float(c)) for p, c in zip(model.patterns, model.posterior)]
-    else:
-        table = []
-    same = (F.col("v_place") == 1) & (F.col("v_direction") == 1)
+    # there are at most 3 ** 6 patterns
     out = pairs.join(F.broadcast(spark.createDataFrame(table, schema)), list(VOTES))
+    same = (F.col("v_direction") == 1) & (F.col("v_mode") == 1)
     return out.groupBy(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).agg(F.max("confidence").alias("confidence"), F.bool_or(same).alias("same"))

@@ -29,7 +29,7 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likely matches, checked for the same place, direction and mode."""
+    """The likely matches, checked for the same direction and mode."""
     return p4_matches(spark, sf_dir).where("confidence >= 0.5 and same").select("stop_id", "op_row")
 
 
