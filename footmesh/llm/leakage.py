@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footmesh.llm.lookalike import normal_texts
+from footmesh.llm.lookalike import Maps, normal_texts, shared_maps
 
 RUN = 20
 K1, B = 1.2, 0.75
@@ -39,9 +39,9 @@ def words_of(text: str) -> list[str]:
 class ItemIndex:
     """BM25 postings of the items by term, with the largest impact of each block of items."""
 
-    def __init__(self, ids: list, texts: list[str], run: int = RUN):
+    def __init__(self, ids: list, texts: list[str], run: int = RUN, maps: Maps | None = None):
         self.ids, self.run = ids, run
-        docs = [words_of(t) for t in normal_texts(texts)]
+        docs = [words_of(t) for t in normal_texts(texts, maps)]
         self.vocab: dict[str, int] = {}
         coded = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in d], np.int32) for d in docs]
         n, size = len(docs), len(self.vocab)
@@ -70,9 +70,12 @@ class ItemIndex:
         self.item, self.impact, term = item[order], impact[order], term[order]
         self.start = np.searchsorted(term, np.arange(size + 1))
         self.blocks = (n + BLOCK - 1) // BLOCK
-        # by term (the last row is for words that no item has) and block
-        self.block_max = np.zeros((size + 1, self.blocks), np.float32)
-        np.maximum.at(self.block_max, (term, self.item // BLOCK), self.impact.astype(np.float32))
+        # bounds by term and block, only where the block has the term; the last term is for words that no item has
+        where = term * self.blocks + self.item // BLOCK
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.empty(0, int)
+        self.bound = np.maximum.reduceat(self.impact, first).astype(np.float32) if len(first) else np.empty(0, np.float32)
+        self.bound_block = (self.item[first] // BLOCK).astype(np.int32)
+        self.bound_start = np.searchsorted(term[first], np.arange(size + 2))
         # the least threshold of each block and of all; a term's largest impact of all
         self.block_least = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
         self.least = self.threshold.min() if n else np.inf
@@ -80,6 +83,15 @@ class ItemIndex:
         if size:
             self.top[:size] = np.maximum.reduceat(self.impact, self.start[:-1])
 
+    def upper(self, distinct: np.ndarray) -> np.ndarray:
+        """By passage and block the sum of the bounds of the passage's terms."""
+        count = self.bound_start[distinct + 1] - self.bound_start[distinct]
+        passage = np.repeat(np.arange(len(distinct)), count.sum(1))
+        begin = np.repeat(self.bound_start[distinct].ravel(), count.ravel())
+        within = np.arange(len(begin)) - np.repeat(np.r_[0, np.cumsum(count.ravel())[:-1]], count.ravel())
+        at = begin + within
+        return np.bincount(passage * self.blocks + self.bound_block[at], self.bound[at], len(distinct) * self.blocks).reshape(len(distinct), self.blocks)
+
     def candidates(self, terms: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Items of the live blocks whose score for the passage of these distinct terms reaches their threshold."""
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
@@ -105,7 +117,7 @@ class ItemIndex:
             distinct = np.sort(padded[start[:, None] + np.arange(2 * run)], axis=1)
             distinct[:, 1:][distinct[:, 1:] == distinct[:, :-1]] = none
             # blocks whose bounds stay below all thresholds of their items are passed over
-            live = self.block_max[distinct].sum(1) >= self.block_least - 1e-3
+            live = self.upper(distinct) >= self.block_least - 1e-3
             for k in np.flatnonzero(live.any(1)):
                 terms = distinct[k][distinct[k] < none]
                 wanted = set(self.candidates(terms, live[k]).tolist())
@@ -128,19 +140,20 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     rows = docs.select(F.col(doc_key).alias("doc_id"), F.col(doc_text).alias("t")).where("doc_id is not null and t is not null")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(items.dtypes)['id']}"
     spark = docs.sparkSession
+    maps = shared_maps(spark)
     out = None
     for first in range(0, parts, SENT):
         indexes = []
         for part in range(first, min(parts, first + SENT)):
             block = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part).orderBy("id", "t").toPandas()
-            indexes.append(ItemIndex(block["id"].tolist(), block["t"].tolist(), run))
+            indexes.append(ItemIndex(block["id"].tolist(), block["t"].tolist(), run, maps.value))
         shared = spark.sparkContext.broadcast(indexes)
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             indexes = shared.value
             for frame in frames:
                 docs_out, items_out = [], []
-                for doc, text in zip(frame["doc_id"], normal_texts(frame["t"].tolist())):
+                for doc, text in zip(frame["doc_id"], normal_texts(frame["t"].tolist(), maps.value)):
                     words = words_of(text)
                     for index in indexes:
                         for k in index.hits(words):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from footmesh.llm.leakage import leaks
 from footmesh.llm.linkage import match_sources
-from footmesh.llm.lookalike import LOOKALIKES, lookalike_classes, lookalike_pairs
+from footmesh.llm.lookalike import lookalike_classes, lookalike_pairs
 from footmesh.llm.mixing import mix_shares, mix_sources
 from footmesh.llm.names import link_names, same_name_pairs
 from footmesh.runtime import table
@@ -59,13 +59,16 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes}
 
+# Fixed values, apart from the operator's own: letters that the tables' writers confuse, in pairs of the other alphabet's letter and the Latin one.
+CONFUSED = "аa еe оo рp сc уy хx іi ѕs јj ԁd һh АA ВB ЕE КK МM НH ОO РP СC ТT ХX УY ЅS ІI ЈJ αa οo ρp νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ɑa ɡg".split()
+
+
 def _form_sql(text: str) -> str:
     """The normal form in SQL, for the kinds of characters that the tables hold; the operator covers more."""
     wide = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
-    alike = [pair for xs, ys in LOOKALIKES for pair in zip(xs, ys)]
     blanks = [(chr(c), " ") for c in (0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F, 0x3000)]
     composed = [("ё", "ë"), ("Ё", "Ë"), ("ї", "ï"), ("Ї", "Ï")]
-    a, b = ("".join(x).replace("'", "''") for x in zip(*wide, *alike, *blanks, *composed))
+    a, b = ("".join(x).replace("'", "''") for x in zip(*wide, *CONFUSED, *blanks, *composed))
     shown = f"regexp_replace({text}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
     out = f"translate({shown}, '{a}', '{b}')"
     for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):

@@ -17,6 +17,32 @@ def test_known_pairs():
         assert L.normal_texts([a]) != L.normal_texts([b]), (a, b)
 
 
+def test_what_shows_is_kept():
+    family, persian, flag = "👨\u200d👩\u200d👧", "می\u200cخواهم", "🏴\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f"
+    for shown, hidden in ((family, "👨👩👧"), (persian, "میخواهم"), (flag, "🏴"), ("☺\ufe0f", "☺"), ("葛\U000e0100", "葛"), ("1\ufe0f\u20e3", "1\u20e3"), ("क्\u200dष", "क्ष")):
+        assert L.normal_texts([shown]) != L.normal_texts([hidden]), shown
+        assert L.normal_texts(["x", shown, "y"])[1] == shown
+    for a, b in (("a\u200db", "ab"), ("a\u200c", "a"), ("x\ufe0f", "x"), ("1\ufe0f", "1"), ("\u200d", ""), ("a\U000e0067", "a")):
+        assert L.normal_texts([a]) == [b]
+    # what stands in another text is no neighbour
+    assert L.normal_texts(["👨", "\u200d", "👩"]) == ["👨", "", "👩"]
+
+
+def test_fonts_and_numerals():
+    for a, b in (("𝐇𝐞𝐥𝐥𝐨", "Hello"), ("a\u2011b", "a\u2010b"), ("Ⅳ", "IV"), ("𝟘", "0"), ("ﬁ", "fi")):
+        assert L.normal_texts([a]) == L.normal_texts([b]), a
+
+
+def test_confusables_from_the_engine(spark):
+    got = L.confusables(spark)
+    assert len(got) > 150 and got[ord("а")] == "a" and got[ord("Ι")] == "I" and got[ord("Ꭵ")] == "i"
+    assert all(len(v) == 1 and v.isascii() for v in got.values())
+    # no two letters of an alphabet become one, but for its own look-alikes
+    maps = L.build_maps(got)
+    assert L.normal_texts(["Ꮪаmе", "Same"], maps) == ["Same", "Same"]
+    assert len(set(L.normal_texts(list("абвгдежзийклмнопрстуфхцчшщъыьэюя"), maps))) == 32
+
+
 def test_order_and_bounds():
     texts = ["", "plain", "e", "́", "​", "x" * 10 + "é", "ﬁ" * 1000, "", "z"]
     assert L.normal_texts(texts) == ["", "plain", "e", "́", "", "x" * 10 + "é", "fi" * 1000, "", "z"]
