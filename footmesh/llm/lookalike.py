@@ -240,10 +240,11 @@ def form_digests(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lookalike_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a document: id, class_id (digest of the normal form), n_variants, n_docs of its class."""
+    """One row a document: id, class_id (the smallest id of its class), n_variants, n_docs of its class."""
     rows = cut(form_digests(docs, key, text))
-    sizes = rows.groupBy("form", "raw").agg(F.count("*").alias("n")).groupBy("form").agg(F.count("*").alias("n_variants"), F.sum("n").alias("n_docs"))
-    return rows.join(sizes, "form").select("id", F.lower(F.hex("form")).alias("class_id"), "n_variants", "n_docs")
+    sizes = rows.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sizes = sizes.groupBy("form").agg(F.min("first").alias("class_id"), F.count("*").alias("n_variants"), F.sum("n").alias("n_docs"))
+    return rows.join(sizes, "form").select("id", "class_id", "n_variants", "n_docs")
 
 
 def lookalike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:

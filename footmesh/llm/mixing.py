@@ -15,13 +15,13 @@ are rounded in parallel buckets, whose at most one residual each goes up a reduc
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +35,18 @@ EPS = 1e-9
 LARGE = 1e-4
 
 
+# The pattern by which the public byte-level vocabularies split a text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str):
+    """The tokenizer of a rank file, which is read and nothing beside it."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("vocabularies", Path(path).parent / "__init__.py")
-    vocabularies = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(vocabularies)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(Path(path).stem, pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def source_key(c: Column) -> Column:
@@ -53,11 +55,13 @@ def source_key(c: Column) -> Column:
 
 
 def token_counts(docs: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Replace the text by its number of tokens, n_tokens; null texts have none."""
+    """Replace the text by its number of tokens, n_tokens; null texts have none. The rank file goes to the executors with the job."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    file = Path(tokenizer).name
     others = [c for c in docs.columns if c != text]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(tokenizer).encode_ordinary
+        encode = encoding(SparkFiles.get(file)).encode_ordinary
         for frame in frames:
             yield frame[others].assign(n_tokens=np.array([len(encode(t)) if t else 0 for t in frame[text]], np.int64))
 
@@ -207,3 +211,19 @@ def mix_shares(mixed: DataFrame, plan: pd.DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     share = F.coalesce(F.try_divide(F.coalesce("mix_tokens", F.lit(0)).cast("double"), F.col("total")), F.lit(0.0)).alias("actual_share")
     return t.join(got, "src", "left").join(F.broadcast(total)).select("source", "target_share", share, "max_repeats", zero("most_repeats"), "source_docs", "source_tokens", zero("mix_docs"), zero("mix_tokens"))
+
+
+def mix_audit(mixed: DataFrame, plan: pd.DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """A row a target: source, source_docs, and whether its records are all there once, none is used too often, and its share is reached.
+
+    The share wanted is that among the targets that have tokens; it is reached to within ``tolerance`` of the whole.
+    """
+    shares = mix_shares(mixed, plan)
+    rows = mixed.groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
+    there = float(plan.loc[(plan["tokens"] > 0) & (plan["cap"] > 0), "share"].sum()) or 1.0
+    wanted = F.when((F.col("source_tokens") > 0) & (F.col("max_repeats") > 0), F.col("target_share") / there).otherwise(0.0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return shares.join(rows, "source", "left").select(
+        "source", "source_docs", ((zero("rows") == F.col("source_docs")) & (zero("ids") == F.col("source_docs"))).alias("whole"),
+        (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_held"), (F.abs(F.col("actual_share") - wanted) <= tolerance).alias("share_reached"),
+    )
