@@ -19,6 +19,8 @@ from footmesh.runtime import cut, map_groups
 SMOOTHING, UNKNOWN_MS, PENALTY_MS, BONUS_MS, STREAK = 0.25, 700, 1500, 120, 6
 MAX_POLYGONS, MAX_UNAVAILABLE, MAX_AGE_DAYS = 4000, 1000, 30
 SEGMENT = 20_000
+# Events after which the average has all but forgotten what was before them.
+PREFIX = 128
 
 
 def attempts(responses: DataFrame) -> DataFrame:
@@ -29,45 +31,72 @@ def attempts(responses: DataFrame) -> DataFrame:
     return rows.select("record_id", "area_id", "attempt_no", field("endpoint", "string"), field("duration_ms", "bigint"), field("outcome", "string"), field("status", "int"), field("response", "variant"))
 
 
+def smooth(value: np.ndarray, x: float) -> np.ndarray:
+    return np.floor(value * (1 - SMOOTHING) + x * SMOOTHING + 0.5)
+
+
+def steps_of(xs: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """The latency after ``xs`` as a step function of the one before, from 0 to ``top``: where its steps begin, and their values.
+
+    The function grows, so its steps are found by halving between places with different values; after some
+    PREFIX events it has only a few of them, whatever the durations are.
+    """
+    edges = np.array([0.0, top])
+    run = lambda v: [v := smooth(v, x) for x in xs][-1] if len(xs) else v
+    values = run(edges)
+    while True:
+        open_ = np.flatnonzero((values[1:] != values[:-1]) & (edges[1:] - edges[:-1] > 1))
+        if not len(open_):
+            break
+        mids = np.floor((edges[open_] + edges[open_ + 1]) / 2)
+        edges, values = np.insert(edges, open_ + 1, mids), np.insert(values, open_ + 1, run(mids))
+    keep = np.r_[True, values[1:] != values[:-1]]
+    return edges[keep], values[keep]
+
+
 def smoothed_latency(log: DataFrame, group: str, order: list[str], value: str, ok: Column) -> DataFrame:
     """group, latency_ms, failure_streak, successes after all events of each group, in order.
 
     The latency is an exponential average that is rounded at every step, so it is no plain weighted sum;
     but each stretch of events is a monotone step function of the latency before it, and such functions
-    can be composed. Stretches of SEGMENT events are reduced in parallel to their few steps, which are
-    then applied one after the other: a group of any size never meets in one task. Null values count
-    as failures of no duration.
+    can be composed. Stretches of SEGMENT events are reduced in parallel to their few steps, or kept as
+    they are if they are short, and then applied one after the other: a group of any size never meets in
+    one task. Null values count as failures of no duration.
     """
     rows = log.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), *order, F.coalesce(value, F.lit(0)).cast("double").alias("x"), ok.alias("ok"))
     first = order[0]
     width = F.floor(F.xxhash64("g") * 0 + F.col(first) / 64).cast("bigint")
     rows = numbered(rows, ["g"], width, order, "no").withColumn("seg", F.floor(F.col("no") / SEGMENT).cast("bigint"))
     rows = cut(rows)
-    top = rows.agg(F.max("x")).first()[0] or 0.0
-    size = int(top) + UNKNOWN_MS + 2
+    top = float(max(rows.agg(F.max("x")).first()[0] or 0.0, UNKNOWN_MS)) + 1
 
     def reduce_segment(key: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         good = frame["ok"].to_numpy(bool)
-        x = np.maximum(1, np.floor(frame["x"].to_numpy()[good] + 0.5))
-        # values of the latency before the stretch, and none (an endpoint that is new); -1 stands for none
-        before = np.arange(-1, size, dtype=np.int64)
-        edge, value = before, before.astype(float)
-        for v in x:
-            value = np.where(value < 0, v, np.floor(value * (1 - SMOOTHING) + v * SMOOTHING + 0.5))
-            if len(value) > 64:
-                keep = np.r_[True, np.diff(value) != 0]
-                keep[1 : 2] = True
-                edge, value = edge[keep], value[keep]
+        xs = np.maximum(1, np.floor(frame["x"].to_numpy()[good] + 0.5))
+        edges, values, fresh = np.empty(0), np.empty(0), None
+        if len(xs) > PREFIX:
+            edges, values = steps_of(xs[:PREFIX], top)
+            # an endpoint that is new begins with the first event's duration
+            fresh = np.array([xs[0]])
+            for x in xs[1:PREFIX]:
+                fresh = smooth(fresh, x)
+            state = np.r_[fresh, values]
+            for x in xs[PREFIX:]:
+                state = smooth(state, x)
+            fresh, values, xs = float(state[0]), state[1:], np.empty(0)
         tail = int(np.argmax(good[::-1])) if good.any() else len(good)
-        yield pd.DataFrame({"g": [key[0]], "seg": [key[1]], "edges": [edge.tolist()], "values": [value.tolist()], "n_ok": [int(good.sum())], "tail": [tail], "n": [len(good)]})
+        yield pd.DataFrame({"g": [key[0]], "seg": [key[1]], "edges": [edges.tolist()], "values": [values.tolist()], "fresh": [fresh], "xs": [xs.tolist()], "n_ok": [int(good.sum())], "tail": [tail], "n": [len(good)]})
 
-    schema = f"g {dict(rows.dtypes)['g']}, seg bigint, edges array<bigint>, values array<double>, n_ok bigint, tail bigint, n bigint"
+    schema = f"g {dict(rows.dtypes)['g']}, seg bigint, edges array<double>, values array<double>, fresh double, xs array<double>, n_ok bigint, tail bigint, n bigint"
     parts = map_groups(rows.select("g", "seg", "no", "x", "ok"), ["g", "seg"], reduce_segment, schema, ["no"])
 
     def chain(key: tuple, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state, streak, good = -1.0, 0, 0
         for r in frame.sort_values("seg").itertuples(index=False):
-            state = float(r.values[int(np.searchsorted(np.asarray(r.edges), state, side="right")) - 1])
+            if len(r.values):
+                state = float(r.fresh) if state < 0 else float(r.values[int(np.searchsorted(np.asarray(r.edges), state, side="right")) - 1])
+            for x in r.xs:
+                state = float(x) if state < 0 else float(smooth(np.float64(state), x))
             streak = int(r.tail) if r.n_ok else streak + int(r.n)
             good += int(r.n_ok)
         yield pd.DataFrame({"g": [key[0]], "latency_ms": [int(state) if state >= 0 else UNKNOWN_MS], "failure_streak": [min(STREAK, streak)], "successes": [good]})

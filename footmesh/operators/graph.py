@@ -295,13 +295,19 @@ def batched_paths(start: DataFrame, edges: DataFrame, budget: DataFrame, origins
     rows = numbered(rows, ["area_id", "cy", "cx"], F.expr("right(origin, 2)"), ["origin"], "_no").withColumn("batch", F.floor(F.col("_no") / BATCH).cast("bigint"))
     rows = cut(rows.select("area_id", "origin", "max_m", "cy", "cx", "batch"))
     ok = start.join(rows, ["area_id", "origin"]).where("d0 >= 0 and d0 <= max_m and not isnan(d0)")
-    most = rows.agg(F.max("max_m")).first()[0] or 0.0
-    pad_lat = most / 110_000.0
-    pad_lon = F.least(F.lit(180.0), F.lit(pad_lat) / F.greatest(F.lit(1e-4), F.cos(F.radians(F.least(F.lit(89.99), F.abs("u_lat") + 2 * pad_lat + CELL_LAT)))))
+    # a batch needs the edges of the cells within its own largest budget, so batches look for edges and no edge is copied to every batch of the area
+    batches = rows.groupBy("area_id", "cy", "cx", "batch").agg(F.max("max_m").alias("most"))
+    pad = F.col("most") / 110_000.0
+    low, high = F.col("cy") * CELL_LAT - pad, (F.col("cy") + 1) * CELL_LAT + pad
+    across = F.least(F.lit(180.0), pad / F.greatest(F.lit(1e-4), F.cos(F.radians(F.least(F.lit(89.99), F.greatest(F.abs(low), F.abs(high)) + pad)))))
     at = lambda c, size: F.floor(c / size).cast("bigint")
-    near = edges.withColumn("cy", F.explode(F.sequence(at(F.col("u_lat") - pad_lat, CELL_LAT), at(F.col("u_lat") + pad_lat, CELL_LAT))))
-    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(at(F.col("u_lon") - pad_lon, CELL_LON), at(F.col("u_lon") + pad_lon, CELL_LON)), lambda x: F.pmod(x, F.lit(AROUND)).cast("bigint")))))
-    near = near.select("area_id", "cy", "cx", "u", "v", "w").join(rows.select("area_id", "cy", "cx", "batch").distinct(), ["area_id", "cy", "cx"])
+    batches = batches.withColumn("ey", F.explode(F.sequence(at(low, CELL_LAT), at(high, CELL_LAT))))
+    xs = F.sequence(at(F.col("cx") * CELL_LON - across, CELL_LON), at((F.col("cx") + 1) * CELL_LON + across, CELL_LON))
+    batches = batches.withColumn("ex", F.explode(F.array_distinct(F.transform(xs, lambda x: F.pmod(x, F.lit(AROUND)).cast("bigint")))))
+    # an edge lies in the cell of its first end; it is within reach if either end is
+    ends = F.explode(F.array(F.struct(F.col("u_lat").alias("y"), F.col("u_lon").alias("x")), F.struct(F.col("v_lat").alias("y"), F.col("v_lon").alias("x")))).alias("p")
+    held = edges.select("area_id", "u", "v", "w", ends).select("area_id", "u", "v", "w", at(F.col("p.y"), CELL_LAT).alias("ey"), F.pmod(at(F.col("p.x"), CELL_LON), F.lit(AROUND)).cast("bigint").alias("ex")).distinct()
+    near = batches.join(held, ["area_id", "ey", "ex"]).select("area_id", "cy", "cx", "batch", "u", "v", "w").distinct()
     keys = ["area_id", "cy", "cx", "batch"]
     # the two sides share columns of the batches, so one side's are renamed
     near = near.select(*(F.col(k).alias(f"n_{k}") for k in keys), "u", "v", "w")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from footmesh.functions.codec import once
 from footmesh.runtime import cut
 
-# An object path with more distinct keys than this is an open map, not a record.
-MAP_KEYS = 256
+# Shapes and paths that a task remembers at once while it infers a schema.
+SHAPES = 50_000
 # The lists that network records have by definition, also where each of them was delivered as a lone value.
 ELEMENTS = "$.attempts[].response.elements"
 NETWORK_LISTS = ("$.attempts", ELEMENTS, f"{ELEMENTS}[].nodes", f"{ELEMENTS}[].geometry")
@@ -75,50 +75,70 @@ def parsed(df: DataFrame, text: str, out: str = "value") -> DataFrame:
     return df.select("*", F.explode(F.filter(F.array(F.coalesce("_v", F.try_parse_json("_r"))), lambda v: v.isNotNull())).alias(out)).drop("_v", "_r")
 
 
+KINDS = {dict: "object", list: "array", type(None): "null", bool: "boolean", str: "string", int: "number", float: "number"}
+
+
 def merged_schema(df: DataFrame, text: str, maps: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (path, kind, n) over all records; fields named in ``maps`` are open maps and not entered.
 
-    Each task merges its own records first, so the shuffle carries one row a task, path and kind.
+    Each task merges its own records first, so the shuffle carries one row a task, path and kind. Objects
+    of plain values are counted by their shape, as most look like one seen before.
     """
 
-    def walk(value, path: str, seen: dict) -> None:
-        kind = {dict: "object", list: "array", type(None): "null", bool: "boolean", str: "string"}.get(type(value), "number")
-        seen[path, kind] += 1
-        if kind == "array":
-            for v in value:
-                walk(v, path + "[]", seen)
-        elif kind == "object" and path.rstrip("[]").rpartition(".")[2] not in maps:
+    def walk(value, path: str, seen: Counter, shapes: Counter) -> None:
+        kind = type(value)
+        if kind is dict and path.rstrip("[]").rpartition(".")[2] not in maps:
+            types = [type(v) for v in value.values()]
+            if dict not in types and list not in types:
+                shapes[(path, tuple(value), tuple(types))] += 1
+                return
             for k, v in value.items():
-                walk(v, f"{path}.{k}", seen)
+                walk(v, f"{path}.{k}", seen, shapes)
+        elif kind is list:
+            types = Counter(map(type, value))
+            if dict in types or list in types:
+                for v in value:
+                    walk(v, path + "[]", seen, shapes)
+            else:
+                for t, n in types.items():
+                    seen[path + "[]", KINDS[t]] += n
+        seen[path, KINDS[kind]] += 1
+
+    def rows(seen: Counter, shapes: Counter) -> pd.DataFrame:
+        for (path, fields, types), n in shapes.items():
+            seen[path, "object"] += n
+            for k, t in zip(fields, types):
+                seen[f"{path}.{k}", KINDS[t]] += n
+        out = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "kind", "n"])
+        seen.clear()
+        shapes.clear()
+        return out
 
     def infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = defaultdict(int)
+        seen, shapes = Counter(), Counter()
         for frame in frames:
             for body in frame[text]:
                 if (value := _strict(body)) is not None:
-                    walk(value, "$", seen)
-            if len(seen) > 50 * MAP_KEYS:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "kind", "n"])
-                seen.clear()
-        if seen:
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "kind", "n"])
+                    walk(value, "$", seen, shapes)
+            if len(seen) + len(shapes) > SHAPES:
+                yield rows(seen, shapes)
+        if seen or shapes:
+            yield rows(seen, shapes)
 
     return df.select(text).mapInPandas(infer, "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
 def levels_of(schema: DataFrame, maps: tuple[str, ...] = (), known: tuple[str, ...] = ()) -> list[Level]:
-    """The levels of a merged schema, parents first. Objects of more than MAP_KEYS keys are maps too.
+    """The levels of a merged schema, parents first. Which objects are open maps is declared, so a record gives the same tables in every corpus.
 
     Paths in ``known`` are lists even if the records never have more than a lone value there, and are
     spelled as given even if a value above them, or the whole record, is a list elsewhere.
 
     Only list and map paths come to the driver: their number is that of the schema's levels.
     """
-    parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
-    wide = {r.parent for r in schema.where("path like '%.%'").groupBy(parent.alias("parent")).agg(F.count_distinct("path").alias("keys")).where(F.col("keys") > MAP_KEYS).select("parent").collect()}
     named = F.regexp_extract("path", r"([^.\[\]]*)(\[\])*$", 1)
     lists = {r.path for r in schema.where("kind = 'array'").select("path").collect()} | set(known)
-    mapped = {r.path.rstrip("[]") for r in schema.where(named.isin(*maps) if maps else F.lit(False)).where("kind in ('object', 'array')").select("path").collect()} | {w.removesuffix("[]") for w in wide}
+    mapped = {r.path.rstrip("[]") for r in schema.where(named.isin(*maps) if maps else F.lit(False)).where("kind in ('object', 'array')").select("path").collect()}
     bare = lambda p: p.replace("[]", "") + "."
     mapped = {m for m in mapped if not any(bare(k).startswith(bare(m)) for k in known)}
     listed = {p for p in lists if p in known or not any(bare(k).startswith(bare(p)) for k in known)}

@@ -38,11 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the cluster's ``spark.checkpoint.dir``, which all executors share, so that a lost
-    executor loses nothing. Only where that is unset (tests, one machine) a folder is made up.
+    executor loses nothing. On one machine a folder is made up where that is unset; a cluster without it
+    is refused, as its executors share no temporary folder. Checkpoints of frames that are no longer
+    used are removed by the engine where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="footmesh-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="footmesh-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
