@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footmesh.functions.geo import haversine_m, present
-from footmesh.llm.names import fold, resolve_names
+from footmesh.llm.names import fold, resolve_names, spread
 from footmesh.llm.pairs import crossed
 from footmesh.runtime import cut
 
@@ -196,7 +196,7 @@ def match_sources(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...],
         "v_near": vote(F.coalesce(apart <= NEAR_M, F.lit(False)), F.coalesce(apart > FAR_M, F.lit(False))),
     })
     schema = ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", v_text int"
-    pairs = cut(pairs.mapInPandas(_texts_alike, schema))
+    pairs = cut(spread(pairs, "l_id", "r_id").mapInPandas(_texts_alike, schema))
     codes = cut(learn_modes(pairs))
     means = lambda df: df.join(F.broadcast(codes.withColumnRenamed("r_code", "r_mode")), "r_mode", "left").withColumn("r_mode", F.coalesce("means", "r_mode")).drop("means")
     rb_modes = means(rb)

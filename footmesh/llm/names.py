@@ -362,11 +362,11 @@ def learn_towns(words: DataFrame, lexicon: Lexicon, marks: DataFrame) -> tuple[D
     return cut(total.select(F.lit("").alias("grp"), F.col("canon").alias("text"), "n")), channel
 
 
-def resolve_towns(words: DataFrame, towns: DataFrame, channel: Channel, lexicon: Lexicon, marks: DataFrame) -> DataFrame:
-    """name, at (position of the town's word), town; names without a known town are left out.
+def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict[str, str], marks: DataFrame) -> DataFrame:
+    """name, at (position of a word), text, town, score: every word of a name that may be a town.
 
     Each word is weighed as a town: its frequency, the likelihood that the town is typed so, and the letters
-    that speak against chance. The best word of a name is its town, if it is one at all.
+    that speak against chance. Words that may be none by these give no row.
     """
     each = words.select("name", "n", F.posexplode("words").alias("at", "word")).select("name", "n", "at", _bare("word").alias("text"), F.col("word").endswith(".").alias("dotted")).where("text <> ''")
     forms = cut(each.groupBy(F.lit("").alias("grp"), "text", "dotted").agg(F.sum("n").alias("n")))
@@ -374,8 +374,8 @@ def resolve_towns(words: DataFrame, towns: DataFrame, channel: Channel, lexicon:
     weight = lambda log_p, text: F.log(F.col("m") / total) + log_p + F.length(text) * channel.letter
     exact = forms.join(towns.select("text", F.col("n").alias("m")), "text").select("text", "dotted", F.col("text").alias("town"), (weight(F.lit(0.0), "text") + 1e3).alias("score"))
     rest = forms.join(towns.select("text"), "text", "left_anti").join(F.broadcast(marks), "text", "left_anti")
-    if lexicon.tails or lexicon.extras:
-        rest = rest.where(~F.col("text").isin(*lexicon.tails, *lexicon.extras))
+    if tails:
+        rest = rest.where(~F.col("text").isin(*tails))
     rest = cut(rest)
     near = near_forms(rest.where("not dotted").select("grp", "text", "n"), towns)
     log_p = channel.edit_log(F.col("d"), F.col("text"))
@@ -393,8 +393,13 @@ def resolve_towns(words: DataFrame, towns: DataFrame, channel: Channel, lexicon:
     blurred = blurred.select("text", F.lit(True).alias("dotted"), F.col("canon").alias("town"), weight(channel.edit_log(F.col("d"), F.col("text")) + cut_log("canon"), "text").alias("score"))
     scored = exact.unionByName(near).unionByName(short).unionByName(blurred).where("score > 0")
     best = scored.groupBy("text", "dotted").agg(F.max_by(F.struct("town", "score"), F.struct("score", "town")).alias("b"))
-    hits = each.select("name", "at", "text", "dotted").join(best.select("text", "dotted", "b.*"), ["text", "dotted"])
-    return hits.groupBy("name").agg(F.max_by(F.struct("at", "town"), F.struct("score", -F.col("at"), "town")).alias("b")).select("name", "b.at", "b.town")
+    return each.select("name", "at", "text", "dotted").join(best.select("text", "dotted", "b.*"), ["text", "dotted"]).select("name", "at", "text", "town", "score")
+
+
+def best_towns(hits: DataFrame, without: dict[str, str] | None = None) -> DataFrame:
+    """name, at, town: the likeliest town of each name, by words other than those in ``without``."""
+    kept = hits.where(~F.col("text").isin(*without)) if without else hits
+    return kept.groupBy("name").agg(F.max_by(F.struct("at", "town"), F.struct("score", -F.col("at"), "town")).alias("b")).select("name", "b.at", "b.town")
 
 
 def learn_extras(words: DataFrame, towns: DataFrame, tails: dict[str, str], landmarks: dict[str, str], least: int) -> Lexicon:
@@ -504,9 +509,9 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     least = least_names(words)
     tails = learn_tails(words, least)
     towns, channel = learn_towns(words, Lexicon(tails), marks)
-    first = cut(resolve_towns(words, towns, channel, Lexicon(tails), marks))
-    lexicon = learn_extras(words, first, tails, landmarks, least)
-    found = cut(resolve_towns(words, towns, channel, lexicon, marks)) if lexicon.extras else first
+    hits = cut(town_words(words, towns, channel, tails, marks))
+    lexicon = learn_extras(words, cut(best_towns(hits)), tails, landmarks, least)
+    found = best_towns(hits, lexicon.extras | lexicon.tails)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
