@@ -49,26 +49,39 @@ EDIT_KINDS, FEWEST_KINDS = 52.0, 2.0
 MUCH_RARER = 20.0
 
 
+WRITTEN_OUT = ("ae", "oe", "ue")
+
+
+def plain(text: str) -> str:
+    """Without case and accents; one blank between words."""
+    text = unicodedata.normalize("NFKC", text).casefold()
+    return " ".join("".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).split())
+
+
 def fold(text: str) -> str:
     """Without case, accents and the ways to write them out; one blank between words."""
-    text = unicodedata.normalize("NFKC", text).casefold()
-    text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    for a, b in (("ae", "a"), ("oe", "o"), ("ue", "u")):
-        text = text.replace(a, b)
-    return " ".join(text.split())
+    text = plain(text)
+    for two in WRITTEN_OUT:
+        text = text.replace(two, two[0])
+    return text
+
+
+def readings(text: str) -> list[str]:
+    """A plain text folded but for one pair of letters, once a pair: ae, oe or ue may be no umlaut but what a typo left."""
+    at = [k for k in range(len(text) - 1) if text[k : k + 2] in WRITTEN_OUT]
+    return sorted({fold(text[:k]) + text[k : k + 2] + fold(text[k + 2 :]) for k in at} - {fold(text)})
 
 
 _placeholders = {fold(t) for t in PLACEHOLDERS}
 
 
-def tokens_of(text: str) -> tuple[list[str], list[bool]]:
-    """Folded words, each with the full stop that may follow it, and whether each is in small letters where others are not."""
+def tokens_of(text: str) -> tuple[list[str], list[bool], list[str]]:
+    """Folded words, each with the full stop that may follow it, whether each is in small letters where others are not, and the plain words."""
     if fold(text).strip(" .!?") in _placeholders or not re.search(r"[^\W\d_]", text):
-        return [], []
+        return [], [], []
     raw = re.findall(r"[^\W_]+\.?", unicodedata.normalize("NFKC", text))
     mixed = any(c.isupper() for c in text)
-    pairs = [(fold(w), mixed and w[0].islower()) for w in raw]
-    return [w for w, _ in pairs], [s for _, s in pairs]
+    return [fold(w) for w in raw], [mixed and w[0].islower() for w in raw], [plain(w) for w in raw]
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -128,8 +141,17 @@ def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(d=d)[d <= EDITS]
 
 
-def near_forms(variants: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs grp, text, n, canon, m, d of different spellings of a group within EDITS edits."""
+def near_forms(variants: DataFrame, candidates: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """Pairs grp, text, n, canon, m, d of different spellings of a group within EDITS edits.
+
+    ``wide``: grp, text, wide are further readings of variants; the nearest one counts.
+    """
+    if wide is not None:
+        read = cut(variants.join(wide, ["grp", "text"]).select("grp", "text", "n", "wide"))
+        others = read.select("grp", F.col("wide").alias("text"), F.lit(0.0).alias("n")).distinct()
+        further = near_forms(others, candidates).drop("n").withColumnRenamed("text", "wide").join(read, ["grp", "wide"]).where("text <> canon")
+        both = near_forms(variants, candidates).unionByName(further.select("grp", "text", "n", "canon", "m", "d"))
+        return both.groupBy("grp", "text", "n", "canon", "m").agg(F.min("d").alias("d"))
     v, c = keyed(variants), keyed(candidates).select("k", F.col("grp").alias("g"), F.col("text").alias("canon"), F.col("n").alias("m"))
     alike = F.abs(F.length("text") - F.length("canon")) <= EDITS
     pairs = v.join(c, "k").where((F.col("grp") == F.col("g")) & (F.col("text") != F.col("canon")) & alike).select("grp", "text", "n", "canon", "m").distinct()
@@ -200,13 +222,13 @@ def best_links(near: DataFrame, channel: Channel) -> DataFrame:
     return better.groupBy("grp", "text").agg(F.max_by(F.struct("canon", "d", "n"), F.struct("score", "m", "canon")).alias("b")).select("grp", "text", F.col("b.canon").alias("up"), "b.d", "b.n")
 
 
-def attach(forms: DataFrame, channel: Channel | None = None) -> tuple[DataFrame, Channel]:
-    """``forms``: grp, text, n, one row each. (grp, text, canon, n: every spelling with its canonical form; the channel as estimated.)
+def attach(forms: DataFrame, channel: Channel | None = None, wide: DataFrame | None = None) -> tuple[DataFrame, Channel]:
+    """``forms``: grp, text, n, one row each; ``wide`` their further readings. (grp, text, canon, n: every spelling with its canonical form; the channel as estimated.)
 
     Spellings form a graph of links to more frequent ones; chains are followed to their end.
     """
     forms = cut(forms)
-    near = cut(near_forms(forms, forms))
+    near = cut(near_forms(forms, forms, wide))
     channel = estimated(near, forms, channel or Channel(letter=letter_nats(forms)))
     best = best_links(near, channel).select("grp", "text", "up")
     links = cut(forms.join(best, ["grp", "text"], "left").select("grp", "text", "n", F.coalesce("up", "text").alias("canon")))
@@ -277,14 +299,26 @@ def landmarks_of(aliases: pd.DataFrame) -> dict[str, str]:
 
 
 def names_of(names: DataFrame) -> DataFrame:
-    """name, n, reg -> name, n, reg, words, small: distinct names that may mean a stop, folded and cut into words."""
+    """name, n, reg -> name, n, reg, words, small, plain: distinct names that may mean a stop, folded and cut into words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [tokens_of(t) for t in normal_texts(frame["name"].tolist())]
-            yield frame.assign(words=[w for w, _ in got], small=[s for _, s in got])[[bool(w) for w, _ in got]]
+            yield frame.assign(words=[w for w, _, _ in got], small=[s for _, s, _ in got], plain=[p for _, _, p in got])[[bool(w) for w, _, _ in got]]
+
+    return names.mapInPandas(run, "name string, n double, reg boolean, words array<string>, small array<boolean>, plain array<string>")
 
-    return names.mapInPandas(run, "name string, n double, reg boolean, words array<string>, small array<boolean>")
+
+def word_readings(words: DataFrame) -> DataFrame:
+    """grp "", text, wide: further readings of the words that hold ae, oe or ue."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [(w, r) for w, p in zip(frame["text"], frame["plain"]) for r in readings(p)]
+            yield pd.DataFrame({"grp": "", "text": [w for w, _ in got], "wide": [r for _, r in got]}, dtype=object)
+
+    each = words.select(F.explode(F.arrays_zip("words", "plain")).alias("x")).select(_bare("x.words").alias("text"), _bare("x.plain").alias("plain"))
+    return each.where("text <> plain").distinct().mapInPandas(run, "grp string, text string, wide string").distinct()
 
 
 def _bare(c: str | Column) -> Column:
@@ -341,7 +375,7 @@ def tail_pattern(tails: list[str]) -> str:
     return "^..+(" + "|".join(sorted(map(re.escape, tails), key=lambda t: (-len(t), t))) + ")$" if tails else "^$"
 
 
-def learn_towns(words: DataFrame, lexicon: Lexicon, marks: DataFrame) -> tuple[DataFrame, Channel]:
+def learn_towns(words: DataFrame, lexicon: Lexicon, marks: DataFrame, wide: DataFrame | None = None) -> tuple[DataFrame, Channel]:
     """(grp "", text, n: towns with the weight of the names that hold them; the channel as their spellings show it).
 
     In a name of two full words one is the town: a landmark never, a word that ends like a street hardly,
@@ -357,16 +391,31 @@ def learn_towns(words: DataFrame, lexicon: Lexicon, marks: DataFrame) -> tuple[D
     winners = won.groupBy("a").agg(F.count_distinct("b").alias("k")).where("k > 1").select(F.col("a").alias("text"))
     weights = words.select("n", F.explode("words").alias("text")).join(winners, "text").groupBy("text").agg(F.sum("n").alias("n"))
     towns = weights.select(F.lit("").alias("grp"), "text", "n")
-    links, channel = attach(towns)
+    links, channel = attach(towns, wide=wide)
     total = links.groupBy("canon").agg(F.sum("n").alias("n"))
     return cut(total.select(F.lit("").alias("grp"), F.col("canon").alias("text"), "n")), channel
 
 
-def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict[str, str], marks: DataFrame) -> DataFrame:
+def town_odds(hits: DataFrame, names: int) -> float:
+    """Log-odds that a name holds a known town, by expectation maximisation over the best score of each name.
+
+    The more towns there are, the less each is worth by its share; what does not change is that a name has one.
+    """
+    best = hits.groupBy("name").agg(F.max("score").alias("s"))
+    rows = best.groupBy(F.round(F.greatest(F.least("s", F.lit(40.0)), F.lit(-40.0))).alias("s")).agg(F.count("*").alias("k")).collect()
+    ratio, count = np.exp(np.array([r.s for r in rows], float)), np.array([r.k for r in rows], float)
+    share = 0.5
+    for _ in range(100):
+        share = (float((count * share * ratio / (share * ratio + 1 - share)).sum()) + 1) / (names + 2)
+    return math.log(share / (1 - share))
+
+
+def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict[str, str], marks: DataFrame, wide: DataFrame | None = None) -> DataFrame:
     """name, at (position of a word), text, town, score: every word of a name that may be a town.
 
-    Each word is weighed as a town: its frequency, the likelihood that the town is typed so, and the letters
-    that speak against chance. Words that may be none by these give no row.
+    Each word is weighed as a town: its frequency, the likelihood that the town is typed so, the letters
+    that speak against chance, and the share of names that hold a town at all. Words that are rather none
+    by these give no row.
     """
     each = words.select("name", "n", F.posexplode("words").alias("at", "word")).select("name", "n", "at", _bare("word").alias("text"), F.col("word").endswith(".").alias("dotted")).where("text <> ''")
     forms = cut(each.groupBy(F.lit("").alias("grp"), "text", "dotted").agg(F.sum("n").alias("n")))
@@ -377,7 +426,7 @@ def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict
     if tails:
         rest = rest.where(~F.col("text").isin(*tails))
     rest = cut(rest)
-    near = near_forms(rest.where("not dotted").select("grp", "text", "n"), towns)
+    near = near_forms(rest.where("not dotted").select("grp", "text", "n"), towns, wide)
     log_p = channel.edit_log(F.col("d"), F.col("text"))
     near = near.where(channel.explained(F.col("n"), F.greatest("m", "n"), log_p) > channel.identity(F.col("n"), F.col("text")))
     near = near.select("text", F.lit(False).alias("dotted"), F.col("canon").alias("town"), weight(log_p, "text").alias("score"))
@@ -385,15 +434,17 @@ def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict
     dots = rest.where("dotted").select("grp", "text")
     starts = cut(prefixes(towns, dots))
     short = rest.where("dotted").select(F.col("text").alias("p"), "dotted").join(starts, "p").select(F.col("p").alias("text"), "dotted", F.col("canon").alias("town"), weight(cut_log("canon"), "p").alias("score"))
-    short = cut(short.where("score > 0"))
+    # one or two letters tell a town only by its frequency
+    short = cut(short.where("length(text) > 2 or score > 0"))
     # a shortened town with a typo: near a beginning of its own length
     missed = rest.where("dotted and length(text) > 2").join(short.select("text"), "text", "left_anti").select("grp", "text", "n")
     heads = starts.groupBy("grp", F.col("p").alias("text")).agg(F.max("m").alias("n"))
     blurred = near_forms(missed, heads).select("text", F.col("canon").alias("p"), "d").join(starts, "p")
     blurred = blurred.select("text", F.lit(True).alias("dotted"), F.col("canon").alias("town"), weight(channel.edit_log(F.col("d"), F.col("text")) + cut_log("canon"), "text").alias("score"))
-    scored = exact.unionByName(near).unionByName(short).unionByName(blurred).where("score > 0")
+    scored = exact.unionByName(near).unionByName(short).unionByName(blurred)
     best = scored.groupBy("text", "dotted").agg(F.max_by(F.struct("town", "score"), F.struct("score", "town")).alias("b"))
-    return each.select("name", "at", "text", "dotted").join(best.select("text", "dotted", "b.*"), ["text", "dotted"]).select("name", "at", "text", "town", "score")
+    hits = cut(each.select("name", "at", "text", "dotted").join(best.select("text", "dotted", "b.*"), ["text", "dotted"]).select("name", "at", "text", "town", "score"))
+    return hits.where(F.col("score") > -town_odds(hits, words.count()))
 
 
 def best_towns(hits: DataFrame, without: dict[str, str] | None = None) -> DataFrame:
@@ -508,8 +559,9 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     words = cut(names_of(names.where("name is not null").groupBy("name").agg(F.sum(F.col("n").cast("double")).alias("n"), F.bool_or("reg").alias("reg"))))
     least = least_names(words)
     tails = learn_tails(words, least)
-    towns, channel = learn_towns(words, Lexicon(tails), marks)
-    hits = cut(town_words(words, towns, channel, tails, marks))
+    wide = cut(word_readings(words))
+    towns, channel = learn_towns(words, Lexicon(tails), marks, wide)
+    hits = town_words(words, towns, channel, tails, marks, wide)
     lexicon = learn_extras(words, cut(best_towns(hits)), tails, landmarks, least)
     found = best_towns(hits, lexicon.extras | lexicon.tails)
 
@@ -517,9 +569,16 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
         for frame in frames:
             got = [read_name(list(ws), list(sm), None if pd.isna(at) else int(at), lexicon, landmarks) for ws, sm, at in zip(frame["words"], frame["small"], frame["at"])]
             text, other, kind, direction = zip(*got) if got else ((), (), (), ())
-            yield pd.DataFrame({"name": frame["name"], "n": frame["n"], "grp": frame["town"].fillna(""), "text": text, "other": other, "kind": kind, "direction": direction})
+            wide = [further(list(ws), list(ps), list(sm), None if pd.isna(at) else int(at), t) for ws, ps, sm, at, t in zip(frame["words"], frame["plain"], frame["small"], frame["at"], text)]
+            yield pd.DataFrame({"name": frame["name"], "n": frame["n"], "grp": frame["town"].fillna(""), "text": text, "other": other, "kind": kind, "direction": direction, "wide": wide})
+
+    def further(words: list[str], plains: list[str], small: list[bool], at: int | None, text: str) -> list[str]:
+        """The street by further readings of a word beside the town."""
+        changed = [[*words[:k], r, *words[k + 1 :]] for k, p in enumerate(plains) if k != at and p != words[k] for r in readings(p)]
+        got = [read_name(ws, small, at, lexicon, landmarks) for ws in changed]
+        return sorted({t for t, _, kind, _ in got if not kind and t} - {text})
 
-    schema = "name string, n double, grp string, text string, other string, kind string, direction string"
+    schema = "name string, n double, grp string, text string, other string, kind string, direction string, wide array<string>"
     streets = cut(words.join(found, "name", "left").mapInPandas(read, schema))
     return settle_streets(streets, marks, landmarks, channel)
 
@@ -535,14 +594,15 @@ def small_table(df: DataFrame, most: int = 1_000_000) -> pd.DataFrame:
 def settle_streets(streets: DataFrame, marks: DataFrame, landmarks: dict[str, str], channel: Channel) -> DataFrame:
     """name, town, place, direction: the readings of ``streets`` with each text led to its canonical one."""
     full = streets.where("kind = '' and text <> '' and text not like '%.%'").groupBy("grp", "text").agg(F.sum("n").alias("n"))
-    attached, channel = attach(full, channel)
+    wide = cut(streets.where("kind = '' and text not like '%.%'").select("grp", "text", F.explode("wide").alias("wide")).distinct())
+    attached, channel = attach(full, channel, wide)
     roots = cut(attached.groupBy("grp", F.col("canon").alias("text")).agg(F.sum("n").alias("n")))
     # a rare text may be a landmark's name with a typo
     counts = streets.where("kind = '@'").groupBy("text").agg(F.sum("n").alias("n"))
     formal = streets.sparkSession.createDataFrame(sorted(landmarks.items()), "text string, formal string")
     known = formal.join(counts.withColumnRenamed("text", "formal"), "formal", "left").select(F.lit("").alias("grp"), "text", "formal", F.coalesce("n", F.lit(1.0)).alias("n"))
     rare = roots.groupBy("text").agg(F.max("n").alias("n")).select(F.lit("").alias("grp"), "text", "n")
-    near = near_forms(rare, known.select("grp", "text", "n"))
+    near = near_forms(rare, known.select("grp", "text", "n"), wide.select(F.lit("").alias("grp"), "text", "wide").distinct())
     near = near.where(channel.explained(F.col("n"), F.col("m"), channel.edit_log(F.col("d"), F.col("text"))) > channel.identity(F.col("n"), F.col("text")))
     as_mark = near.join(known.select(F.col("text").alias("canon"), "formal"), "canon").groupBy("text").agg(F.max_by("formal", F.struct(-F.col("d"), "m", "formal")).alias("mark"))
     short = streets.where("kind = '' and text like '%.%'")

@@ -146,6 +146,32 @@ def test_recall_by_error_kind(spark):
     assert all(v > 0.95 for v in share.values()), share
 
 
+def test_short_towns_among_many(spark):
+    """A town's share falls with the number of towns; its short form is found all the same."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("bdfgklmnprstwz") + rng.choice("aeiou") for _ in range(n))
+    towns = [part(4).capitalize() + rng.choice(("heim", "feld", "bach", "dorf", "bronn")) for _ in range(600)]
+    stops = [(t, part(4).capitalize() + rng.choice(("straße", "weg", "platz", "allee"))) for t in towns for _ in range(3)]
+    short = [(k, f"{t[:6]}. {s}") for k, (t, s) in enumerate(stops) if k % 3 == 0]
+    got = {r.id: r.place for r in links(spark, [f"{t} {s}" for t, s in stops] + [x for _, x in short]).collect()}
+    assert sum(got[len(stops) + k] == got[n] for k, (n, _) in enumerate(short)) / len(short) > 0.98
+    assert len({got[k] for k in range(len(stops))}) == len(set(stops))
+
+
+def test_a_lost_letter_makes_no_umlaut(spark):
+    """What a typo leaves as ue is no umlaut, however often it is typed: neither in a town nor in a street."""
+    assert S.readings("tesiropuhuette") == ["tesiropuhuette"] and S.readings("gotoebruecke") == ["gotobruecke", "gotoebrucke"] and S.readings("nord") == []
+    towns = ("Nomuduhepibronn", "Nibetehaingen", "Hahahahaheim")
+    names = [f"{t} {s}" for t in towns for s in (*STREETS, "Mobukefaring", "Bahnhof") for _ in range(40)]
+    base = len(names)
+    names += [f"Nomuduepibronn {s}" for s in STREETS for _ in range(2)] + ["Nibetehaingen Mobuefaring"] * 2 + ["Nomuduhepibronn Bahnhof", "Nomuduepibronn Bahnhof"]
+    got = {r.id: r.place for r in links(spark, names).collect()}
+    assert [got[base + k] for k in range(8)] == [got[k // 2 * 40] for k in range(8)]
+    assert {got[base + k] for k in (8, 9)} == {got[names.index("Nibetehaingen Mobukefaring")]} and got[base + 10] == got[base + 11]
+    # written out or not, an umlaut is one
+    assert len(groups(spark, ["Altdorf Köselweg", "Altdorf Koeselweg", "ALTDORF KOESELWEG", "Altdorf Ringgasse"])) == 2
+
+
 def test_hot_place_is_cut_into_blocks(spark, monkeypatch):
     from footmesh.llm import pairs as P
 
