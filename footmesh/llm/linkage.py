@@ -131,8 +131,8 @@ class LabelModel:
         return [[k for k in every if group[k] == g] for g in dict.fromkeys(group.values())]
 
 
-def near_rows(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
-    """Pairs of ``left`` (l_lat, l_lon) and ``right`` (r_lat, r_lon), all columns of both, at most ``reach_m`` apart, the right side also with its coordinates exchanged.
+def near_rows(left: DataFrame, right: DataFrame, reach_m: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``left`` (l_lat, l_lon) and ``right`` (r_lat, r_lon), all columns of both, at most ``reach_m`` apart and equal in ``keys``, the right side also with its coordinates exchanged.
 
     Rows of latitude are cut into a whole number of cells of at least that width around the globe, so
     neighbours across the 180th meridian and at any latitude meet; latitudes beyond the poles meet nothing.
@@ -147,7 +147,7 @@ def near_rows(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
     there = right.where("r_lat is not null and r_lon is not null").select("*", ways).where("abs(w.a) <= 90").withColumn("cy", F.explode(F.sequence(row(F.col("w.a")) - 1, row(F.col("w.a")) + 1)))
     around = F.array_distinct(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.pmod(col(F.col("w.o"), F.col("cy")) + k, cells(F.col("cy")))))
     there = there.withColumn("cx", F.explode(around))
-    met = crossed(here, there, ["cy", "cx"]).where(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("w.a"), F.col("w.o")) <= reach_m)
+    met = crossed(here, there, [*keys, "cy", "cx"]).where(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("w.a"), F.col("w.o")) <= reach_m)
     return met.drop("cy", "cx", "w").distinct()
 
 
@@ -181,11 +181,13 @@ def match_sources(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...],
     by_stop = crossed(la.withColumn("stop", F.col("l_stop")), rb.withColumn("stop", F.col("r_stop")), ["stop"]).drop("stop")
     # what the other side does not know by its stop may be spelt beyond recognition, or have no town
     odd_left = la.join(rb.select(F.col("r_stop").alias("l_stop")).distinct(), "l_stop", "left_anti").select(*la.columns)
-    odd_right = rb.join(la.select(F.col("l_stop").alias("r_stop")).distinct(), "r_stop", "left_anti").select(*rb.columns)
-    known_right = rb.join(la.select(F.col("l_stop").alias("r_stop")).distinct(), "r_stop", "left_semi").select(*rb.columns)
-    odd_left, odd_right, known_right = cut(odd_left), cut(odd_right), cut(known_right)
-    by_place = near_rows(la, odd_right, REACH_M).unionByName(near_rows(odd_left, known_right, REACH_M))
-    pairs = by_stop.select(*la.columns, *rb.columns).unionByName(by_place.select(*la.columns, *rb.columns))
+    known = la.select(F.col("l_stop").alias("r_stop"), F.lit(True).alias("known")).distinct()
+    # odd rows of the right meet all of the left, the others the odd ones; rows meet those of the same number
+    there = cut(rb.join(known, "r_stop", "left").select(*rb.columns, F.when(F.col("known"), 1).otherwise(0).alias("met")))
+    here = la.withColumn("met", F.lit(0)).unionByName(cut(odd_left).withColumn("met", F.lit(1)))
+    # a job of its own: the driver plans the rest of a job again after each of its stages
+    by_place = cut(near_rows(here, there, REACH_M, ("met",)).select(*la.columns, *rb.columns))
+    pairs = by_stop.select(*la.columns, *rb.columns).unionByName(by_place)
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     differ = lambda c: vote(F.col(f"l_{c}") == F.col(f"r_{c}"), F.col(f"l_{c}") != F.col(f"r_{c}"))
     apart = F.least(haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")), haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lon"), F.col("r_lat")))

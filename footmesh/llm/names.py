@@ -47,6 +47,8 @@ LEAST, LEAST_SHARE = 3, 0.0002
 EDIT_KINDS, FEWEST_KINDS = 52.0, 2.0
 # A spelling so much rarer than its neighbour shows how edits spread over their kinds.
 MUCH_RARER = 20.0
+# What stands for the number of times that a further reading of a spelling is typed.
+READING = -1.0
 
 
 WRITTEN_OUT = ("ae", "oe", "ue")
@@ -148,9 +150,11 @@ def near_forms(variants: DataFrame, candidates: DataFrame, wide: DataFrame | Non
     """
     if wide is not None:
         read = cut(variants.join(wide, ["grp", "text"]).select("grp", "text", "n", "wide"))
-        others = read.select("grp", F.col("wide").alias("text"), F.lit(0.0).alias("n")).distinct()
-        further = near_forms(others, candidates).drop("n").withColumnRenamed("text", "wide").join(read, ["grp", "wide"]).where("text <> canon")
-        both = near_forms(variants, candidates).unionByName(further.select("grp", "text", "n", "canon", "m", "d"))
+        others = read.select("grp", F.col("wide").alias("text"), F.lit(READING).alias("n")).distinct()
+        # one search for both
+        near = cut(near_forms(variants.select("grp", "text", "n").unionByName(others), candidates))
+        further = near.where(F.col("n") == READING).drop("n").withColumnRenamed("text", "wide").join(read, ["grp", "wide"]).where("text <> canon")
+        both = near.where(F.col("n") != READING).unionByName(further.select("grp", "text", "n", "canon", "m", "d"))
         return both.groupBy("grp", "text", "n", "canon", "m").agg(F.min("d").alias("d"))
     v, c = keyed(variants), keyed(candidates).select("k", F.col("grp").alias("g"), F.col("text").alias("canon"), F.col("n").alias("m"))
     alike = F.abs(F.length("text") - F.length("canon")) <= EDITS
@@ -325,8 +329,8 @@ def _bare(c: str | Column) -> Column:
     return F.rtrim(F.col(c) if isinstance(c, str) else c, F.lit("."))
 
 
-def least_names(words: DataFrame) -> int:
-    return max(LEAST, math.ceil(LEAST_SHARE * words.count()))
+def least_names(count: int) -> int:
+    return max(LEAST, math.ceil(LEAST_SHARE * count))
 
 
 def _shortened(form: str, full: str) -> bool:
@@ -385,7 +389,7 @@ def learn_towns(words: DataFrame, lexicon: Lexicon, marks: DataFrame, wide: Data
     sides = cut(two.select("a", "b", F.lit(0).alias("at")).unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).alias("at"))))
     partners = sides.groupBy("a").agg(F.count_distinct("b").alias("partners"))
     like_street = F.col("a").rlike(tail_pattern([t for t in lexicon.tails if len(t) > 2])) | F.col("a").isin(*lexicon.tails) if lexicon.tails else F.lit(False)
-    rank = partners.join(F.broadcast(marks), partners["a"] == marks["text"], "left").select("a", F.struct(F.col("text").isNull().alias("word"), (~like_street).alias("plain"), "partners").alias("r"))
+    rank = cut(partners.join(F.broadcast(marks), partners["a"] == marks["text"], "left").select("a", F.struct(F.col("text").isNull().alias("word"), (~like_street).alias("plain"), "partners").alias("r")))
     met = sides.join(rank, "a").join(rank.select(F.col("a").alias("b"), F.col("r").alias("o")), "b")
     won = met.where(F.col("r.word") & ((F.col("r") > F.col("o")) | ((F.col("r") == F.col("o")) & (F.col("at") == 0))))
     winners = won.groupBy("a").agg(F.count_distinct("b").alias("k")).where("k > 1").select(F.col("a").alias("text"))
@@ -410,8 +414,8 @@ def town_odds(hits: DataFrame, names: int) -> float:
     return math.log(share / (1 - share))
 
 
-def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict[str, str], marks: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-    """name, at (position of a word), text, town, score: every word of a name that may be a town.
+def town_words(words: DataFrame, count: int, towns: DataFrame, channel: Channel, tails: dict[str, str], marks: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """name, at (position of a word), text, town, score: every word of the ``count`` names that may be a town.
 
     Each word is weighed as a town: its frequency, the likelihood that the town is typed so, the letters
     that speak against chance, and the share of names that hold a town at all. Words that are rather none
@@ -429,7 +433,7 @@ def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict
     near = near_forms(rest.where("not dotted").select("grp", "text", "n"), towns, wide)
     log_p = channel.edit_log(F.col("d"), F.col("text"))
     near = near.where(channel.explained(F.col("n"), F.greatest("m", "n"), log_p) > channel.identity(F.col("n"), F.col("text")))
-    near = near.select("text", F.lit(False).alias("dotted"), F.col("canon").alias("town"), weight(log_p, "text").alias("score"))
+    near = cut(near.select("text", F.lit(False).alias("dotted"), F.col("canon").alias("town"), weight(log_p, "text").alias("score")))
     cut_log = lambda c: F.log(F.lit(channel.short) / F.length(c))
     dots = rest.where("dotted").select("grp", "text")
     starts = cut(prefixes(towns, dots))
@@ -439,12 +443,12 @@ def town_words(words: DataFrame, towns: DataFrame, channel: Channel, tails: dict
     # a shortened town with a typo: near a beginning of its own length
     missed = rest.where("dotted and length(text) > 2").join(short.select("text"), "text", "left_anti").select("grp", "text", "n")
     heads = starts.groupBy("grp", F.col("p").alias("text")).agg(F.max("m").alias("n"))
-    blurred = near_forms(missed, heads).select("text", F.col("canon").alias("p"), "d").join(starts, "p")
+    blurred = cut(near_forms(missed, heads).select("text", F.col("canon").alias("p"), "d")).join(starts, "p")
     blurred = blurred.select("text", F.lit(True).alias("dotted"), F.col("canon").alias("town"), weight(channel.edit_log(F.col("d"), F.col("text")) + cut_log("canon"), "text").alias("score"))
     scored = exact.unionByName(near).unionByName(short).unionByName(blurred)
     best = scored.groupBy("text", "dotted").agg(F.max_by(F.struct("town", "score"), F.struct("score", "town")).alias("b"))
     hits = cut(each.select("name", "at", "text", "dotted").join(best.select("text", "dotted", "b.*"), ["text", "dotted"]).select("name", "at", "text", "town", "score"))
-    return hits.where(F.col("score") > -town_odds(hits, words.count()))
+    return hits.where(F.col("score") > -town_odds(hits, count))
 
 
 def best_towns(hits: DataFrame, without: dict[str, str] | None = None) -> DataFrame:
@@ -471,6 +475,7 @@ def learn_extras(words: DataFrame, towns: DataFrame, tails: dict[str, str], land
     street = met.join(vocabulary, F.concat("v", "w") == F.col("x"), "left_semi").groupBy("w").agg(F.count("*").alias("j"))
     many = cut(many.join(street, "w", "left").where("j is null or j < 0.2 * k").select("w", "k"))
     won = met.join(many, "w").join(many.select(F.col("w").alias("v"), F.col("k").alias("o")), "v").where("k > o").groupBy("w").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    won = cut(won)
     stats = pairs.join(won.select("w"), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n"), F.avg((F.col("i") == 0).cast("double")).alias("first"), F.avg(F.col("dotted").cast("double")).alias("dots"), F.bool_or("reg").alias("reg"), F.bool_or(F.col("reg") & ~F.col("dotted")).alias("listed"))
     rows = {r.w: r for r in stats.join(won, "w").collect() if r.w not in landmarks}
     known = any(r.reg for r in rows.values())
@@ -557,11 +562,12 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     spark = names.sparkSession
     marks = spark.createDataFrame([(m,) for m in sorted(landmarks)], "text string")
     words = cut(names_of(names.where("name is not null").groupBy("name").agg(F.sum(F.col("n").cast("double")).alias("n"), F.bool_or("reg").alias("reg"))))
-    least = least_names(words)
+    count = words.count()
+    least = least_names(count)
     tails = learn_tails(words, least)
     wide = cut(word_readings(words))
     towns, channel = learn_towns(words, Lexicon(tails), marks, wide)
-    hits = town_words(words, towns, channel, tails, marks, wide)
+    hits = town_words(words, count, towns, channel, tails, marks, wide)
     lexicon = learn_extras(words, cut(best_towns(hits)), tails, landmarks, least)
     found = best_towns(hits, lexicon.extras | lexicon.tails)
 
@@ -604,7 +610,7 @@ def settle_streets(streets: DataFrame, marks: DataFrame, landmarks: dict[str, st
     rare = roots.groupBy("text").agg(F.max("n").alias("n")).select(F.lit("").alias("grp"), "text", "n")
     near = near_forms(rare, known.select("grp", "text", "n"), wide.select(F.lit("").alias("grp"), "text", "wide").distinct())
     near = near.where(channel.explained(F.col("n"), F.col("m"), channel.edit_log(F.col("d"), F.col("text"))) > channel.identity(F.col("n"), F.col("text")))
-    as_mark = near.join(known.select(F.col("text").alias("canon"), "formal"), "canon").groupBy("text").agg(F.max_by("formal", F.struct(-F.col("d"), "m", "formal")).alias("mark"))
+    as_mark = cut(near.join(known.select(F.col("text").alias("canon"), "formal"), "canon").groupBy("text").agg(F.max_by("formal", F.struct(-F.col("d"), "m", "formal")).alias("mark")))
     short = streets.where("kind = '' and text like '%.%'")
     unfolded = cut(unfold(short, roots, channel))
     # where the whole reading fits nothing, the one without the first word may
@@ -613,7 +619,7 @@ def settle_streets(streets: DataFrame, marks: DataFrame, landmarks: dict[str, st
     out = cut(streets.join(linked, ["grp", "text"], "left").join(lone, ["grp", "text"], "left"))
     loose = out.where("kind = '' and other <> '' and grp <> '' and (canon is null or lone)").select("grp", F.col("other").alias("text")).distinct()
     again = roots.select("grp", "text", F.col("text").alias("canon")).join(loose, ["grp", "text"], "left_semi").unionByName(unfold(loose.where("text like '%.%'"), roots, channel))
-    again = again.select("grp", F.col("text").alias("other"), F.col("canon").alias("second"))
+    again = cut(again.select("grp", F.col("text").alias("other"), F.col("canon").alias("second")))
     out = out.join(again, ["grp", "other"], "left").withColumn("canon", F.when(F.col("canon").isNull() | F.col("lone"), F.coalesce("second", "canon")).otherwise(F.col("canon")))
     out = out.withColumn("canon", F.coalesce("canon", F.replace("text", F.lit("."))))
     out = out.join(as_mark.withColumnRenamed("text", "canon"), "canon", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footmesh.llm import linkage as J
 from footmesh.llm import names as S
+from footmesh.llm.plans import QUERIES
 
 ALIASES = [("Bhf", "Bahnhof"), ("KH", "Klinikum"), ("Tiergarten", "Zoo"), (None, "Messe"), ("x", None)]
 
@@ -256,3 +257,17 @@ def test_matching(spark):
     got = {(r.left_id, r.right_id) for r in J.match_sources(a, b, cols, cols, aliases).where("same and confidence >= 0.5").collect()}
     assert got == {("s2", 1), ("s3", 3), ("one", 2), ("null", 2)}
     assert J.match_sources(a.limit(0), b, cols, cols, aliases).count() == 0
+
+
+def test_the_driver_plans_small_jobs(spark, small):
+    """The driver plans the rest of a job again after each of its stages, so that one large job takes much of its memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def ids():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        done = store.executionsList()
+        return {done.apply(k).executionId() for k in range(done.size())}
+
+    before = ids()
+    QUERIES["p4_found"](spark, small).collect()
+    assert max(store.planGraph(k).allNodes().size() for k in ids() - before) <= 150
